@@ -5,19 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphveil.llm.common import table
+from glyphveil.llm import op03_rules, op05_quality, op10_langid
+from glyphveil.llm.common import remainder, table
 from glyphveil.llm.op09_bpe import bpe_round_trip, default_vocabulary
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return op03_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document; rows with remainder 0 modulo 5 are held out of learning labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(remainder(F.col("doc_id"), 5) != 0)
+    vectors, net = op05_quality.train(docs, labels)
+    return op05_quality.score(docs, vectors, net).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_round_trip(docs, default_vocabulary()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; rows with remainder 2 modulo 4 are held out of learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = op10_langid.train(docs.where(remainder(F.col("doc_id"), 4) != 2))
+    return op10_langid.identify(docs.select("doc_id", "text"), model).select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
+    "op5_quality": op5_quality,
     "op9_bpe": op9_bpe,
+    "op10_language": op10_language,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_quality_rules": op03_rules.SQL,
+}
