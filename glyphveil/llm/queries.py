@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphveil.llm import op03_rules, op05_quality, op10_langid
+from glyphveil.llm import op02_mix, op03_rules, op05_quality, op08_chat, op10_langid
 from glyphveil.llm.common import remainder, table
 from glyphveil.llm.op09_bpe import bpe_round_trip, default_vocabulary
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return op02_mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
@@ -26,6 +32,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_quality.score(docs, vectors, net).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted text; and of conversation -7."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    turns = op08_chat.canonical_turns(op08_chat.records(rows.unionByName(probe)))
+    return op08_chat.digests(op08_chat.read_back(op08_chat.format_chat(turns).drop("turns")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,12 +55,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix": op2_mix,
     "op3_quality_rules": op3_quality_rules,
     "op5_quality": op5_quality,
+    "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_mix": op02_mix.SQL,
     "op3_quality_rules": op03_rules.SQL,
+    "op8_chat": op08_chat.SQL,
 }
