@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphveil.llm import op02_mix, op03_rules, op05_quality, op08_chat, op10_langid
+from glyphveil.llm import op02_mix, op03_rules, op04_pii, op05_quality, op07_warc, op08_chat, op10_langid
 from glyphveil.llm.common import remainder, table
 from glyphveil.llm.op09_bpe import bpe_round_trip, default_vocabulary
 
@@ -24,6 +24,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data under pseudonyms."""
+    return op04_pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document; rows with remainder 0 modulo 5 are held out of learning labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -32,6 +37,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_quality.score(docs, vectors, net).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages say, read back."""
+    return op07_warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its formatted text; and of conversation -7."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -57,7 +67,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix,
     "op3_quality_rules": op3_quality_rules,
+    "op4_pii": op4_pii,
     "op5_quality": op5_quality,
+    "op7_warc": op7_warc,
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
@@ -66,5 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_mix": op02_mix.SQL,
     "op3_quality_rules": op03_rules.SQL,
+    "op7_warc": op07_warc.SQL,
     "op8_chat": op08_chat.SQL,
 }
