@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphveil.llm import op02_mix, op03_rules, op04_pii, op05_quality, op07_warc, op08_chat, op10_langid
+from glyphveil.llm import op02_mix, op03_rules, op04_pii, op05_quality, op06_jaccard, op07_warc, op08_chat, op10_langid
 from glyphveil.llm.common import remainder, table
 from glyphveil.llm.op09_bpe import bpe_round_trip, default_vocabulary
 
@@ -37,6 +37,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_quality.score(docs, vectors, net).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, component and number of links of every document."""
+    return op06_jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives of all pages say, read back."""
     return op07_warc.archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,
     "op5_quality": op5_quality,
+    "op6_jaccard": op6_jaccard,
     "op7_warc": op7_warc,
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
