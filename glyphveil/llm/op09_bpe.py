@@ -218,19 +218,23 @@ def bpe_decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded
     return _map(rows, path, ids, {out: pa.string()}, f"{out} string", lambda c, x: (c.decode(x).decode("utf-8", "replace"),), empty=[])
 
 
-def bpe_round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens, ids_sha256, decoded_sha256 in place of columns so named.
+def bpe_round_trip(docs: DataFrame, path: str, text: str = "text", ids: str | None = None) -> DataFrame:
+    """docs with n_tokens, ids_sha256, decoded_sha256 in place of columns so named, and with the ids in column ids if it is named.
 
-    The texts are encoded and the ids decoded; only digests leave the worker. Null counts as empty.
+    The texts are encoded and the ids decoded in one pass. Null counts as empty.
     """
 
     def digest(c: Codec, t: str) -> tuple:
-        ids = c.encode(t)
-        joined = ",".join(map(c.decimal.__getitem__, ids)).encode()
-        decoded = c.decode(ids).decode("utf-8", "replace").encode()
-        return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()
-
-    return _map(docs, path, text, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, "n_tokens long, ids_sha256 string, decoded_sha256 string", digest)
+        got = c.encode(t)
+        joined = ",".join(map(c.decimal.__getitem__, got)).encode()
+        decoded = c.decode(got).decode("utf-8", "replace").encode()
+        out = len(got), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return (*out, np.array(got, dtype=np.int32)) if ids else out
+
+    kinds, ddl = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    if ids:
+        kinds, ddl = kinds | {ids: pa.list_(pa.int32())}, f"{ddl}, {ids} array<int>"
+    return _map(docs, path, text, kinds, ddl, digest)
 
 
 def _map(df: DataFrame, path: str, col: str, kinds: dict, ddl: str, make, empty="") -> DataFrame:

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphveil.llm import op02_mix, op03_rules, op04_pii, op05_quality, op06_jaccard, op07_warc, op08_chat, op10_langid
+from glyphveil.llm import op01_embeddings, op02_mix, op03_rules, op04_pii, op05_quality, op06_jaccard, op07_warc, op08_chat, op10_langid
 from glyphveil.llm.common import remainder, table
 from glyphveil.llm.op09_bpe import bpe_round_trip, default_vocabulary
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return op01_embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -70,6 +75,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
     "op2_mix": op2_mix,
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_embeddings": op01_embeddings.SQL,
     "op2_mix": op02_mix.SQL,
     "op3_quality_rules": op03_rules.SQL,
     "op7_warc": op07_warc.SQL,
