@@ -119,12 +119,12 @@ def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     sizes = sized(docs, text)
     rows = takes(sizes, source_targets(sizes))
     at = F.when(F.col("taken") - F.col("epochs") * F.col("size") > 0, F.struct("key", (2 * (F.col("taken") - F.col("epochs") * F.col("size")) >= F.col("size")).alias("whole")))
-    ends = staged(rows.groupBy(F.col("source").alias("m_source")).agg(F.max("epochs").alias("m_epochs"), F.max(at).alias("m_last")), "ends")
+    ends = staged(rows.groupBy(F.col("source").alias("__gv_source")).agg(F.max("epochs").alias("__gv_epochs"), F.max(at).alias("__gv_last")), "ends")
     key = mix_key(F.col("doc_id"))
-    more = F.when(key < F.col("m_last.key"), 1).when((key == F.col("m_last.key")) & F.col("m_last.whole"), 1).otherwise(0)
-    joined = docs.join(ends, docs["source"].eqNullSafe(ends["m_source"]))
-    times = (F.col("m_epochs") + more).cast("int")
-    return joined.withColumn("m_times", times).where("m_times > 0").withColumn("m_time", F.explode(F.sequence(F.lit(1), F.col("m_times")))).select(*[docs[c] for c in docs.columns])
+    more = F.when(key < F.col("__gv_last.key"), 1).when((key == F.col("__gv_last.key")) & F.col("__gv_last.whole"), 1).otherwise(0)
+    joined = docs.join(ends, docs["source"].eqNullSafe(ends["__gv_source"]))
+    times = (F.col("__gv_epochs") + more).cast("int")
+    return joined.withColumn("__gv_times", times).where("__gv_times > 0").withColumn("__gv_time", F.explode(F.sequence(F.lit(1), F.col("__gv_times")))).select(*[docs[c] for c in docs.columns])
 
 
 _TARGET_CTES = r"""

@@ -118,9 +118,11 @@ def quality_rules(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), tex
     base_failed: under 20 words, or over 30 % of words in repeated windows of eight. kept: not
     base_failed, and all rates within the fences of the row's group. Null groups are groups of their
     own; a null or empty text fails; repeated rows are judged alike; an empty table gives none.
+    Columns of docs named like one of the result are replaced, others stay.
     """
+    docs = docs.drop("base_failed", "kept", *[f"{n}_{end}" for n in RATES for end in ("low", "high")])
     counts = staged(quality_counts(docs, text), "rules")
-    on = [f"_{c}" for c in by]
+    on = [f"__gv_{c}" for c in by]
     limits = fences(counts.select(*[F.col(c).alias(k) for c, k in zip(by, on, strict=True)], *COUNTS), on)
     cond = None
     for c, k in zip(by, on, strict=True):

@@ -183,10 +183,10 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
     those with candidates. A column n_found of docs is replaced, others stay.
     """
     t = F.col(text)
-    df = docs.withColumn("_found", F.regexp_extract_all(t, F.lit(FINDER), F.lit(0)))
-    new = F.transform("_found", lambda m: pseudonym(m, key))
-    df = df.withColumn("_new", F.when(F.size("_found") > 0, new))
+    df = docs.withColumn("__gv_found", F.regexp_extract_all(t, F.lit(FINDER), F.lit(0)))
+    new = F.transform("__gv_found", lambda m: pseudonym(m, key))
+    df = df.withColumn("__gv_new", F.when(F.size("__gv_found") > 0, new))
     gaps = F.split(t, FINDER, -1)
-    woven = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_new"), i), F.get(F.col("_found"), i), F.lit("")))), "")
-    count = F.when(F.size("_found") > 0, F.size(F.filter("_new", lambda x: x.isNotNull()))).otherwise(0)
-    return df.withColumn("n_found", count).withColumn(text, F.when(F.col("n_found") > 0, woven).otherwise(t)).drop("_found", "_new")
+    woven = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__gv_new"), i), F.get(F.col("__gv_found"), i), F.lit("")))), "")
+    count = F.when(F.size("__gv_found") > 0, F.size(F.filter("__gv_new", lambda x: x.isNotNull()))).otherwise(0)
+    return df.withColumn("n_found", count).withColumn(text, F.when(F.col("n_found") > 0, woven).otherwise(t)).drop("__gv_found", "__gv_new")

@@ -111,8 +111,8 @@ def format_chat(df: DataFrame, learn: str = "assistant") -> DataFrame:
     Null turns give null. The spans cover the texts as they stand in formatted, without marks.
     """
     parts = F.transform("turns", lambda t: F.struct((t["role"] == learn).alias("learn"), F.concat(F.lit(OPEN), _role_line(t["role"]), F.lit("\n")).alias("head"), escaped(t["text"]).alias("body")))
-    df = df.withColumn("_parts", parts)
-    joined = F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
+    df = df.withColumn("__gv_parts", parts)
+    joined = F.array_join(F.transform("__gv_parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, size: int>>").alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -120,7 +120,7 @@ def format_chat(df: DataFrame, learn: str = "assistant") -> DataFrame:
         span = F.array(F.struct(begin.alias("start"), size.alias("size")))
         return F.struct((begin + size + len(CLOSE)).alias("at"), F.when(p["learn"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return df.withColumn("formatted", joined).withColumn("loss_spans", F.aggregate("_parts", start, step)["spans"]).drop("_parts")
+    return df.withColumn("formatted", joined).withColumn("loss_spans", F.aggregate("__gv_parts", start, step)["spans"]).drop("__gv_parts")
 
 
 def read_back(df: DataFrame) -> DataFrame:
