@@ -24,7 +24,7 @@ WINDOW = 8
 #: Rates by name: numerator, denominator, units for one; whether low values fail too; slack in units.
 RATES = {
     "symbols": ("n_symbols", "word_chars", 1000, False, 30),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, False, 200),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, False, 400),
     "repeats": ("n_repeat_words", "n_words", 1000, False, 150),
     "word_length": ("word_chars", "n_words", 100, True, 150),
 }
