@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from glyphveil.llm.common import connected_components, staged
 
 WORDS = 5
+#: Rows of a pair matrix that are worked on at once.
+_ROWS = 128
 
 
 @dataclass(frozen=True)
@@ -57,10 +59,10 @@ class Settings:
 
 
 class _Words(dict):
-    """64-bit hashes of words, the same in every worker; at most 400,000 are remembered."""
+    """64-bit hashes of words, the same in every worker; at most 100,000 are remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 100_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -123,6 +125,7 @@ def embedded(docs: DataFrame, s: Settings) -> DataFrame:
                 h = xxhash.xxh3_128_intdigest(x.tobytes())
                 out.append((h & (1 << 63) - 1, h >> 65, embed(x, s.values, co).tobytes()) if len(x) else (None, None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], type=k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["doc_id", "h1", "h2", "sig"])
+        _words.clear()  # idle workers hold nothing
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, sig binary")
 
@@ -202,10 +205,16 @@ def _unshared(leaf: int, of: list[list[int]]) -> np.ndarray:
     ids, at, counts = np.unique(flat[before], return_inverse=True, return_counts=True)
     if not len(ids):
         return np.ones((n, n), dtype=bool)
-    m = np.zeros((n, len(ids)), dtype=np.float32)
-    m[row[before], at] = 1
-    m = m[:, counts > 1]
-    return (m @ m.T) == 0 if m.shape[1] else np.ones((n, n), dtype=bool)
+    kept = np.flatnonzero(counts > 1)
+    place = np.full(len(ids), -1)
+    place[kept] = np.arange(len(kept))
+    row, at = row[before][counts[at] > 1], place[at[counts[at] > 1]]
+    m = np.zeros((n, len(kept)), dtype=np.float32)
+    m[row, at] = 1
+    out = np.ones((n, n), dtype=bool)
+    for k in range(0, n if m.shape[1] else 0, _ROWS):
+        out[k : k + _ROWS] = (m[k : k + _ROWS] @ m.T) == 0
+    return out
 
 
 def _asked(cross: bool, side: np.ndarray) -> np.ndarray:
@@ -216,14 +225,18 @@ def _asked(cross: bool, side: np.ndarray) -> np.ndarray:
 
 def _similar(t: pa.Table, s: Settings) -> np.ndarray:
     """Which pairs agree in so many values that they must be verified."""
-    sig = np.frombuffer(b"".join(t.column("data").to_pylist()), dtype=np.uint32).reshape(t.num_rows, s.values)
-    agree = np.zeros((t.num_rows, t.num_rows), dtype=np.uint8)
-    for i in range(s.values):
-        agree += sig[:, i, None] == sig[None, :, i]
-    return agree >= s.agree
+    n = t.num_rows
+    sig = np.frombuffer(b"".join(t.column("data").to_pylist()), dtype=np.uint32).reshape(n, s.values)
+    out = np.zeros((n, n), dtype=bool)
+    for k in range(0, n, _ROWS):
+        agree = np.zeros((min(_ROWS, n - k), n), dtype=np.uint8)
+        for i in range(s.values):
+            agree += sig[k : k + _ROWS, i, None] == sig[None, :, i]
+        out[k : k + _ROWS] = agree >= s.agree
+    return out
 
 
-def _linked(t: pa.Table, s: Settings, width: int = 2048) -> np.ndarray:
+def _linked(t: pa.Table, s: Settings, width: int = 512) -> np.ndarray:
     """Which pairs reach the threshold, from their full sets.
 
     Set members that lie in the same rows are one column with a weight, so near copies need few
@@ -249,22 +262,29 @@ def _linked(t: pa.Table, s: Settings, width: int = 2048) -> np.ndarray:
     place[shown] = np.arange(len(shown))
     own = place[member] >= 0
     row, col = row[own], place[member[own]]
-    inter = np.zeros((n, n), dtype=np.float64)
+    inter = np.zeros((n, n), dtype=np.float32)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     for k in range(0, len(shown), width):
         a, b = np.searchsorted(col, [k, k + width])
         m = np.zeros((n, min(width, len(shown) - k)), dtype=np.float32)
         m[row[a:b], col[a:b] - k] = 1
-        inter += (m * weight[k : k + width].astype(np.float32)) @ m.T
-    return (s.under + s.over) * inter >= s.over * (sizes[:, None] + sizes[None, :])
+        weighted = m * weight[k : k + width].astype(np.float32)
+        for r in range(0, n, _ROWS):
+            inter[r : r + _ROWS] += weighted[r : r + _ROWS] @ m.T
+    out = np.zeros((n, n), dtype=bool)
+    for r in range(0, n, _ROWS):
+        out[r : r + _ROWS] = (s.under + s.over) * inter[r : r + _ROWS].astype(np.int64) >= s.over * (sizes[r : r + _ROWS, None] + sizes[None, :])
+    return out
 
 
 def _local_roots(rep: np.ndarray, adjacent: np.ndarray) -> np.ndarray:
     """For each row the smallest rep that it reaches within the group."""
     root = rep.copy()
     while True:
-        new = np.minimum(root, np.where(adjacent, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+        new = root.copy()
+        for k in range(0, len(rep), _ROWS):
+            new[k : k + _ROWS] = np.minimum(root[k : k + _ROWS], np.where(adjacent[k : k + _ROWS], root[None, :], np.iinfo(np.int64).max).min(axis=1))
         if (new == root).all():
             return root
         root = new
@@ -344,6 +364,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], type=pa.binary())], names=["rep", "data"])
+        _words.clear()
 
     wanted = staged(near.select("rep").distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi").dropDuplicates(["rep", "text"])
