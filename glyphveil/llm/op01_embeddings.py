@@ -106,7 +106,7 @@ def _dealt(rows: DataFrame, sizes: list[tuple[int, int]], s: Settings) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([c.tobytes()]), pa.array([c.shape[1]])], names=["shard", "c", "dim"])
 
     sampled = rows.select("shard", "rep", "vec").mapInArrow(pick, "shard long, rep long, vec binary").repartition("shard").sortWithinPartitions("shard")
-    fitted = {r["shard"]: np.frombuffer(r["c"]).reshape(-1, r["dim"]) for r in sampled.mapInArrow(fit, "shard long, c binary, dim int").toLocalIterator()}
+    fitted = {r["shard"]: np.frombuffer(r["c"]).reshape(-1, r["dim"]) for r in sampled.mapInArrow(fit, "shard long, c binary, dim long").toLocalIterator()}
     sent = sc.broadcast(fitted)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
