@@ -27,7 +27,7 @@ from glyphveil.llm.op06_jaccard import _groups, _mixed
 
 @dataclass(frozen=True)
 class Settings:
-    """least: cosine of a link. shard: rows above which a shard is split, to a third of that on average. overlap: centroids that a vector goes to. fan: centroids a shard is split into at most, each fitted on `sample` rows on average. candidates, degree, alpha: of the pruning. beam: of the search. levels: of splitting. audited: queries of the audit, its bound. recall: wanted of it. sent: centroids broadcast at once, at most."""
+    """least: cosine of a link. shard: rows above which a shard is split, to a third of that on average with the copies. overlap: centroids that a vector goes to. fan: centroids a shard is split into at most, each fitted on `sample` rows on average. candidates, degree, alpha: of the pruning. beam: of the search. levels: of splitting. audited: queries of the audit, its bound. recall: wanted of it. sent: centroids broadcast at once, at most."""
 
     least: float = 0.98
     shard: int = 1500
@@ -87,7 +87,7 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 def _dealt(rows: DataFrame, sizes: list[tuple[int, int]], s: Settings) -> DataFrame:
     """Rows (shard, rep, home, n, vec) of large shards dealt to new shards around centroids."""
-    fan = {shard: min(s.fan, max(2, -(-3 * size // s.shard))) for shard, size in sizes}
+    fan = {shard: min(s.fan, max(2, -(-3 * s.overlap * size // s.shard))) for shard, size in sizes}
     share = {shard: min(1.0, s.sample * fan[shard] / size) for shard, size in sizes}
     sc = rows.sparkSession.sparkContext
     plan = sc.broadcast((fan, share))
