@@ -44,7 +44,7 @@ class Codec:
     Only vocabularies without normaliser, dropout or word marks are taken; others are refused.
     """
 
-    def __init__(self, raw: bytes, keep: int = 600_000) -> None:
+    def __init__(self, raw: bytes, keep: int = 200_000) -> None:
         spec = json.loads(raw)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
         plain = not spec["normalizer"] and not model["dropout"] and not model["continuing_subword_prefix"] and not model["end_of_word_suffix"] and not model.get("ignore_merges")
@@ -248,9 +248,11 @@ def _map(df: DataFrame, path: str, col: str, kinds: dict, ddl: str, make, empty=
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(raw.value)
-        for batch in batches:
-            made = [make(c, x if x is not None else empty) for x in batch.column(col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array([m[i] for m in made], type=kind) for i, kind in enumerate(kinds.values())], names=[*keep, *kinds])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                made = [make(c, x.as_py() if x.is_valid else empty) for x in batch.column(col)]
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array([m[i] for m in made], type=kind) for i, kind in enumerate(kinds.values())], names=[*keep, *kinds])
 
     cols = keep if carried else [*keep, col]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
