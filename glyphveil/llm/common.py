@@ -40,9 +40,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: computed once, and independent of lost executors."""
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: computed once, and independent of lost executors.
+
+    rows: how many are expected at most, if known; then no more files are written than they need.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // 250_000)))
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -82,6 +87,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
     so neither lineage nor lost executors matter. Rounds grow with the logarithm of the longest path.
     """
     cur = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    n = cur.count()
     nodes = cur.select(F.col("a").alias("node")).union(cur.select(F.col("b").alias("node"))).distinct()
     for _ in range(max_rounds):
         # Large star: every neighbour larger than the node is linked to the node's smallest neighbour.
@@ -91,7 +97,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
         # Small star: a node and its smaller neighbours are linked to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        new = staged(small, "edges")
+        new = staged(small, "edges", 2 * n)
         # It is done when every node has one edge and no root has an edge of its own.
         open_ = new.groupBy("a").count().where("count > 1").limit(1).count() or new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
         cur = new

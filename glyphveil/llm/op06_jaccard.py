@@ -160,17 +160,17 @@ def _split(rows: DataFrame, s: Settings, first: bool) -> DataFrame:
 
 def leaves(sets: DataFrame, s: Settings) -> DataFrame:
     """(rep, leaf, size): the buckets of two and more in which classes (rep, sig) are compared."""
-    rows, done = _split(sets.select("rep", "sig"), s, True), None
+    rows, done, n = _split(sets.select("rep", "sig"), s, True), None, s.runs * sets.count()
     for depth in range(1, s.depth + 1):
-        rows = staged(rows.distinct() if depth > 1 else rows, "paths")
+        rows = staged(rows.distinct() if depth > 1 else rows, "paths", n)
         sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        sized = staged(rows.join(sizes, "path"), "paths")
+        sized = staged(rows.join(sizes, "path"), "paths", rows.count())
         dense = (F.col("above") > 0) & (F.col("size") > F.col("above") * s.dense)
         stop = (F.col("size") <= s.small) | dense | F.lit(depth == s.depth)
         ended = sized.where(stop).select("rep", F.col("path").alias("leaf"), "size")
         done = ended if done is None else done.unionByName(ended)
         large = sized.where(~stop)
-        if depth == s.depth or not large.limit(1).count():
+        if depth == s.depth or not (n := s.fork * large.count()):
             break
         rows = _split(large.select("rep", "path", "size").join(sets.select("rep", "sig"), "rep").select("rep", "sig", "path", "size"), s, False)
     return done
@@ -356,7 +356,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     all_ = staged(embedded(docs, s), "embedded")
     full = all_.where("h1 IS NOT NULL AND doc_id IS NOT NULL")
     classes = staged(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")), "classes")
-    at = staged(leaves(classes, s), "leaves")
+    at = staged(leaves(classes, s), "leaves", s.runs * classes.count())
     lists = at.groupBy("rep").agg(F.collect_set(F.struct("leaf", "size")).alias("leaves"))
     rows = classes.select("rep", "n", F.col("sig").alias("data")).join(lists, "rep")
     near = staged(_compare(_grouped(rows, s), s, False), "near")
