@@ -2,12 +2,14 @@
 
 Vectors with equal components form a class first. The classes of a label are dealt into shards around
 centroids that are fitted on a bounded sample; each lies in the shards of its nearest centroids, one
-of which is its home. In each shard every vector is joined to neighbours chosen by robust pruning
+of which is its home. Centroids whose sampled vectors link with each other count as one, so a group of
+near vectors isn't cut through; a shard that stays large for that is compared exactly, in pairs of
+blocks. In each other shard every vector is joined to neighbours chosen by robust pruning
 (a candidate goes if a chosen neighbour is nearer to it, by a factor, than the vector itself). The
 adjacency lists of all shards are united. Every vector then searches its home shard over the united
 graph: greedily from the medoid, and on from every vector in range until no new one is. Cosines are
 exact, so nothing below the threshold is ever linked; what the graph misses is measured by an audit
-against brute force, and shards overlap more until the audit is passed.
+against brute force, and shards overlap more, with no more centroids, until the audit is passed.
 """
 
 from __future__ import annotations
@@ -22,18 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphveil.llm.common import connected_components, staged
-from glyphveil.llm.op06_jaccard import _groups, _mixed
+from glyphveil.llm.op06_jaccard import _asked, _groups, _local_roots, _mixed
 
 
 @dataclass(frozen=True)
 class Settings:
-    """least: cosine of a link. shard: rows above which a shard is split, to a third of that on average with the copies. overlap: centroids that a vector goes to. fan: centroids a shard is split into at most, each fitted on `sample` rows on average. candidates, degree, alpha: of the pruning. beam: of the search. levels: of splitting. audited: queries of the audit, its bound. recall: wanted of it. sent: centroids broadcast at once, at most."""
+    """least: cosine of a link. shard: rows above which a shard is split, to a third of that on average with the copies. overlap: centroids that a vector goes to. fan: centroids a shard is split into at most, each fitted on `sample` rows on average. joined: share of links between the samples of two centroids from which they count as one. block: rows of a block of a shard that stays large. candidates, degree, alpha: of the pruning. beam: of the search. levels: of splitting. audited: queries of the audit, its bound. recall: wanted of it. sent: centroids broadcast at once, at most."""
 
     least: float = 0.98
     shard: int = 1500
     overlap: int = 3
     fan: int = 64
     sample: int = 32
+    joined: float = 0.005
+    block: int = 2048
     candidates: int = 64
     degree: int = 24
     alpha: float = 1.2
@@ -85,6 +89,18 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def _merged(x: np.ndarray, c: np.ndarray, s: Settings) -> np.ndarray:
+    """For each centroid of rows x the number of its group, from 0: centroids between whose rows many links run are one group."""
+    own = np.zeros((len(x), len(c)), dtype=np.float32)
+    own[np.arange(len(x)), (x @ c.T).argmax(axis=1)] = 1
+    links = np.zeros((len(c), len(c)), dtype=np.float32)
+    for k in range(0, len(x), 512):
+        links += own[k : k + 512].T @ ((x[k : k + 512] @ x.T >= s.least).astype(np.float32) @ own)
+    sizes = own.sum(axis=0)
+    joined = (links > 0) & (links >= s.joined * sizes[:, None] * sizes[None, :]) | np.eye(len(c), dtype=bool)
+    return np.unique(_local_roots(np.arange(len(c)), joined), return_inverse=True)[1]
+
+
 def _dealt(rows: DataFrame, sizes: list[tuple[int, int]], s: Settings) -> DataFrame:
     """Rows (shard, rep, home, n, vec) of large shards dealt to new shards around centroids."""
     fan = {shard: min(s.fan, max(2, -(-3 * s.overlap * size // s.shard))) for shard, size in sizes}
@@ -103,10 +119,12 @@ def _dealt(rows: DataFrame, sizes: list[tuple[int, int]], s: Settings) -> DataFr
             x = _matrix(t.column("vec"))
             shard = t.column("shard")[0].as_py()
             c = _centroids(x[np.argsort(t.column("rep").to_numpy())], plan.value[0][shard])
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([c.tobytes()]), pa.array([c.shape[1]])], names=["shard", "c", "dim"])
+            group = _merged(x, c, s)
+            order = np.argsort(group, kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([c[order].tobytes()]), pa.array([c.shape[1]]), pa.array([np.searchsorted(group[order], np.arange(group.max() + 1)).tolist()], type=pa.list_(pa.int64()))], names=["shard", "c", "dim", "starts"])
 
     sampled = rows.select("shard", "rep", "vec").mapInArrow(pick, "shard long, rep long, vec binary").repartition("shard").sortWithinPartitions("shard")
-    fitted = {r["shard"]: np.frombuffer(r["c"]).reshape(-1, r["dim"]) for r in sampled.mapInArrow(fit, "shard long, c binary, dim long").toLocalIterator()}
+    fitted = {r["shard"]: (np.frombuffer(r["c"]).reshape(-1, r["dim"]), np.array(r["starts"])) for r in sampled.mapInArrow(fit, "shard long, c binary, dim long, starts array<long>").toLocalIterator()}
     sent = sc.broadcast(fitted)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +133,12 @@ def _dealt(rows: DataFrame, sizes: list[tuple[int, int]], s: Settings) -> DataFr
             vecs = batch.column(4).to_pylist()
             for x in np.unique(shard).tolist():
                 rows_ = np.flatnonzero(shard == x)
-                c = sent.value.get(x)
-                if c is None:  # no row of it was sampled: it stays whole
+                c, starts = sent.value.get(x, (None, ()))
+                if len(starts) < 2:  # it is one group, or no row of it was sampled: it stays whole
                     yield batch.take(pa.array(rows_))
                     continue
                 sims = np.frombuffer(b"".join(vecs[i] for i in rows_), dtype=np.float64).reshape(len(rows_), -1) @ c.T
+                sims = np.maximum.reduceat(sims, starts, axis=1)
                 near = np.argsort(-sims, axis=1, kind="stable")[:, : s.overlap]
                 new = _mixed(np.array([x]).view(np.uint64), near).view(np.int64)
                 at = np.repeat(rows_, near.shape[1])
@@ -293,6 +312,34 @@ def _search(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
         yield _found([(a, b, 0, min(a, b)) for a, b in pairs] + [(int(rep[i]), None, int(links[i]), int(rep[own[i]])) for i in range(len(rep)) if links[i] or own[i] != i])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], s: Settings, band: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same of shards that stay large, for each group (gid) of one block or two, all pairs compared."""
+    for t in _groups(batches):
+        rep, n, home = t.column("rep").to_numpy(), t.column("n").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
+        if len(rep) < 2 or not home.any():
+            continue
+        x = _matrix(t.column("vec"))
+        hit = np.zeros((len(x), len(x)), dtype=bool)
+        for k in range(0, len(x), band):
+            hit[k : k + band] = x[k : k + band] @ x.T >= s.least
+        hit &= hit.T & _asked(t.column("crossed")[0].as_py(), t.column("side").to_numpy())
+        root = _local_roots(rep, hit)
+        links = np.where(home, (hit @ np.where(home, n, 0).astype(np.float64)).astype(np.int64), 0)
+        for k in range(0, len(x), band):
+            i, b = np.nonzero(hit[k : k + band] & home[k : k + band, None] & ~home[None, :])
+            if len(i):
+                yield _found([(a, b, 0, min(a, b)) for a, b in zip(rep[k + i].tolist(), rep[b].tolist(), strict=True)])
+        yield _found([(int(rep[i]), None, int(links[i]), int(root[i])) for i in np.flatnonzero((links > 0) | (root != rep))])
+
+
+def _in_blocks(rows: DataFrame, s: Settings) -> DataFrame:
+    """Rows (shard, rep, home, n, vec, size) for each pair of blocks of their shard: (gid, crossed, side, rep, home, n, vec)."""
+    blocks = F.ceil(F.col("size") / s.block).cast("int")
+    at = rows.withColumn("own", F.pmod(F.xxhash64("rep", "shard"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return at.select(F.xxhash64("shard", low, high).alias("gid"), (low != high).alias("crossed"), F.when(F.col("own") == high, 1).otherwise(0).alias("side"), "rep", "home", "n", "vec")
+
+
 def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.int64()) for i in range(4)], names=["rep", "other", "links", "root"])
 
@@ -300,10 +347,14 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 def linked(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(rep, links) and edges (a, b) of the classes (rep, n, shard, vec), by shards, graph and search."""
     rows = staged(shards(classes, s), "shards")
+    whole = staged(rows.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > s.shard), "whole")
+    paired = _in_blocks(rows.join(whole, "shard"), s).repartition("gid").sortWithinPartitions("gid")
+    exact = paired.mapInArrow(lambda b: _blocks(b, s), "rep long, other long, links long, root long")
+    rows = rows.join(whole, "shard", "left_anti")
     lists = rows.select("shard", "rep", "vec").repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda b: _build(b, s), "rep long, near array<long>")
     graph = staged(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     laid = rows.join(graph, "rep", "left").select("shard", "rep", "home", "n", "vec", "near").repartition("shard").sortWithinPartitions("shard")
-    found = staged(laid.mapInArrow(lambda b: _search(b, s), "rep long, other long, links long, root long"), "found")
+    found = staged(laid.mapInArrow(lambda b: _search(b, s), "rep long, other long, links long, root long").unionByName(exact), "found")
     pairs = found.where("other IS NOT NULL").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
     ends = pairs.union(pairs.select("b", "a")).toDF("rep", "with")
     across = ends.join(classes.select(F.col("rep").alias("with"), "n"), "with").select("rep", F.col("n").alias("links"))
@@ -357,7 +408,7 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     valid = units.where("h1 IS NOT NULL AND vec_id IS NOT NULL")
     classes = staged(valid.groupBy("shard", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "classes")
     for wider in (1, 2, 4, 8):
-        links, edges = linked(classes, replace(s, overlap=s.overlap * wider))
+        links, edges = linked(classes, replace(s, overlap=s.overlap * wider, shard=s.shard * wider))
         links = staged(links, "links")
         if (got := audit(classes, links, s)) >= s.recall:
             break

@@ -115,6 +115,30 @@ def test_vectors_against_all_pairs(spark):
     assert op01_embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def near_group(n, dims=64, seed=5):
+    """Differing unit vectors, all pairs of which have a cosine above 0.98."""
+    r = np.random.default_rng(seed)
+    e = r.normal(size=(n, dims))
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    x = np.eye(dims)[0] + 0.09 * e
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_vectors_of_a_large_near_group(spark):
+    x = near_group(3000)
+    assert (x @ x.T).min() > 0.98
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    classes = op01_embeddings.unit_vectors(df).select("shard", F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("n"), "vec")
+    links, _ = op01_embeddings.linked(classes, op01_embeddings.Settings())
+    found = links.agg(F.sum("links")).first()[0]
+    assert found == 3000 * 2999, found / (3000 * 2999)
+    # Beside others, which a split does take apart.
+    y = np.random.default_rng(6).normal(size=(4000, 64))
+    df = df.where("vec_id < 2000").union(spark.createDataFrame([(5000 + i, v.tolist(), 1) for i, v in enumerate(y)], df.schema))
+    got = {r["vec_id"]: r["n_links"] for r in op01_embeddings.near_duplicates(df).collect()}
+    assert sum(got.values()) >= 0.9999 * 2000 * 1999 and max(got.values()) == 1999 and len(got) == 6000
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
