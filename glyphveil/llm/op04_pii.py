@@ -1,6 +1,8 @@
 """Personal data under format-preserving pseudonyms, with DataFrame operations alone.
 
-One pattern finds candidates; checksums, ranges and calendars validate them. A number or date is then
+One pattern finds candidates; checksums, ranges and calendars validate them. A run of digit groups that
+is no card as a whole is searched for the cards, and what they leave for the other kinds, that begin and
+end with its groups. A number or date is then
 permuted by a keyed Feistel network over exactly its format's values, so it stays a valid value of the
 format, no two values share a pseudonym, and equal values have equal ones in every document and
 spelling. Addresses of e-mail and secrets, which aren't numbers, get a keyed digest.
@@ -14,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphveil.fixed import IBAN_LENGTHS
+
 #: Stands for the caller's key in tests and in the registered query.
 DEFAULT_KEY = "corpus-key"
 ROUNDS = 8
@@ -22,18 +26,50 @@ FIRST_DAY, DAY_HALF = "1900-01-01", 270
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _KEYWORD = r"(?i:passw(?:or)?d|secret|token|api[_\-]?key|access[_\-]?key)[\"']?[ ]?[=:][ ]?[\"']?"
+
+
+def _spaced_ibans() -> str:
+    """IBANs in groups of four, or compact with small letters: as long as their countries have them."""
+    out = []
+    for n in sorted(set(IBAN_LENGTHS.values())):
+        here = "|".join(c for c, k in IBAN_LENGTHS.items() if k == n)
+        fours, rest = divmod(n - 4, 4)
+        out.append(f"(?:{here})[0-9]{{2}}(?:(?:[ ][A-Z0-9]{{4}}){{{fours}}}" + (f"[ ][A-Z0-9]{{{rest}}}" if rest else "") + f"|[A-Z0-9]{{{n - 4}}})")
+    return "(?i:(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(out) + "))(?![0-9A-Za-z_])"
+
+
+#: National phones of the corpus's languages: with a trunk 0 or 00 (also in brackets), French pairs, Spanish nines.
+_NATIONAL = (
+    r"(?:(?=\(?0(?:[ .\-/)]{0,2}[0-9]){7})(?:\(0[1-9][0-9]{0,4}\)[ ]?|0[1-9][0-9]{1,4}[ .\-/])[0-9]{2,8}(?:[ .\-/][0-9]{2,8}){0,3}"
+    r"|00[1-9](?:[ .\-()/]{0,3}[0-9]){7,13}|0[1-9](?:[ .\-]?[0-9]{2}){4}|0[1-9][0-9]{7,10}"
+    r"|[6-9][0-9]{2}(?:[ .\-]?[0-9]{3}[ .\-]?[0-9]{3}|(?:[ .\-][0-9]{2}){3})|[89][0-9][ .\-][0-9]{3}[ .\-](?:[0-9]{4}|[0-9]{2}[ .\-][0-9]{2}))(?![0-9A-Za-z_]|[.\-][0-9])"
+)
 #: Kinds of candidates, in the order in which they are tried at a place; nothing of [0-9A-Za-z_] stands before.
 PATTERNS = {
     "email": r"(?<![.%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
     "secret": _KEYWORD + r"[A-Za-z0-9+/_\-]{8,}+|(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z_])",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z_])",
+    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z_])|" + _spaced_ibans(),
     "ip": rf"(?<![0-9]\.){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z_]|\.[0-9])",
     "date": r"(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9A-Za-z_])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_]|-[0-9])",
     "card": r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z_])",
     "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z_])|\+[0-9]{1,3}(?:[ .\-()/]{0,3}[0-9]){7,12}(?![0-9A-Za-z_])",
+    "national": _NATIONAL,
 }
-FINDER = r"(?<![0-9A-Za-z_])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: Groups of digits, 13 digits at least, without a last group that begins an IP address, a date or a phone with points.
+_RUN = r"(?=[0-9](?:[ \-]?[0-9]){12})[0-9]++(?![A-Za-z_])(?:[ \-](?![0-9]{1,3}\.[0-9]{1,3}\.[0-9]|[0-9]{2}/[0-9]{2}/(?:19|20))[0-9]++(?![A-Za-z_]))*+"
+
+
+def _finder(patterns: dict[str, str]) -> str:
+    return r"(?<![0-9A-Za-z_])(?:" + "|".join(f"(?:{p})" for p in patterns.values()) + ")"
+
+
+FINDER = _finder(PATTERNS | {"card": _RUN})
+#: Of what is left of a run beside its cards.
+_REST = _finder({k: p for k, p in PATTERNS.items() if k != "card"})
+#: Groups as cards are printed; within a longer run others are cards only where none of these is, and if _EVEN: a tenth of all digits have a fitting check digit.
+_PRINTED = r"^(?:[0-9]{13,19}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}|(?:[0-9]{4}[ \-]){3}[0-9]{1,4}(?:[ \-][0-9]{3})?)$"
+_EVEN = r"^[0-9]{3,8}([ \-])[0-9]{3,8}(?:\1[0-9]{3,8}){0,4}$"
 
 
 def _is(m: Column, kind: str) -> Column:
@@ -92,6 +128,67 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, "(?!^)(?!$)"), F.lit(0), step)
 
 
+def _luhn(m: Column) -> Column:
+    """Whether the digits of m are not all 0 and end in their check digit."""
+    return _once(F.regexp_replace(m, "[^0-9]", ""), lambda d: F.call_function("luhn_check", d) & d.rlike("[1-9]"))
+
+
+def _joined(parts: Column, first: Column, last: Column) -> Column:
+    """The text of parts first to last; element by element, as slice copies the whole array."""
+    return F.when(first > last, "").otherwise(F.array_join(F.transform(F.sequence(first, last), lambda k: F.get(parts, k)), ""))
+
+
+def _card_spans(parts: Column) -> Column:
+    """The first and last groups of the cards in parts (group, separator, group, ...), in order, without overlap; of those from one group on the longest."""
+    n = F.floor((F.size(parts) + 1) / 2).cast("int")
+    groups = F.sequence(F.lit(0), n - 1)
+
+    def ends(i: Column) -> Column:
+        last = F.sequence(i, F.least(i + 18, n - 1))
+        texts = F.transform(last, lambda j: F.struct(j.alias("j"), _joined(parts, 2 * i, 2 * j).alias("t")))
+        return F.filter(texts, lambda x: (x["t"].rlike(_PRINTED) | x["t"].rlike(_EVEN)) & _is(x["t"], "card") & _luhn(x["t"]))
+
+    def best(found: Column) -> Column:
+        return F.struct(F.array_max(F.transform(F.filter(found, lambda x: x["t"].rlike(_PRINTED)), lambda x: x["j"])).alias("printed"), F.array_max(F.transform(found, lambda x: x["j"])).alias("any"))
+
+    none = F.expr("CAST(array() AS array<struct<i: int, j: int>>)")
+
+    def chosen(hits: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            h = F.get(hits, i)
+            hidden = F.exists(F.sequence(i, F.coalesce(h["any"], i)), lambda k: (k > i) & F.get(hits, k)["printed"].isNotNull())
+            j = F.when(i >= s["free"], F.coalesce(h["printed"], F.when(~hidden, h["any"])))
+            return _once(j, lambda j: F.when(j.isNull(), s).otherwise(F.struct((j + 1).alias("free"), F.concat(s["spans"], F.array(F.struct(i.alias("i"), j.alias("j")))).alias("spans"))))
+
+        return F.aggregate(groups, F.struct(F.lit(0).alias("free"), none.alias("spans")), step, lambda s: s["spans"])
+
+    return _once(F.transform(groups, lambda i: _once(ends(i), best)), chosen)
+
+
+def _pieces(m: Column) -> Column:
+    """A candidate as an array of (text, tried): a run of groups that is none as a whole in its cards, the candidates beside them and the rest."""
+    piece = lambda t, tried: F.struct(t.alias("text"), F.lit(tried).alias("tried"))
+
+    def others(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(_REST), F.lit(0))
+        return _once(found, lambda f: F.flatten(F.transform(F.split(t, _REST, -1), lambda g, i: F.array(piece(g, False), piece(F.coalesce(F.get(f, i), F.lit("")), True)))))
+
+    def cut(parts: Column, spans: Column) -> Column:
+        def one(k: Column) -> Column:
+            begin = F.when(k == 0, F.lit(0)).otherwise(2 * F.get(spans, k - 1)["j"] + 1)
+            card = F.get(spans, k)
+            end = F.coalesce(2 * card["i"], F.size(parts))
+            rest = _once(_joined(parts, begin, end - 1), others)
+            text = F.when(card.isNull(), "").otherwise(_joined(parts, 2 * card["i"], 2 * card["j"]))
+            return F.concat(rest, F.array(piece(text, True)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), one))
+
+    run = (F.length(m) >= 13) & m.rlike("^[0-9][0-9 \\-]+$") & ~(_is(m, "card") & _luhn(m))
+    failed = m.rlike("^[A-Za-z]{2}[0-9]{2}[ ]") & _is(m, "iban") & ~_once(F.upper(F.regexp_replace(m, "[ ]", "")), _iban_valid)
+    return F.when(run | failed, _once(F.split(m, "(?<=[ \\-])|(?=[ \\-])"), lambda p: _once(_card_spans(p), lambda s: cut(p, s)))).otherwise(F.array(piece(m, True)))
+
+
 def _card(m: Column, key: str) -> Column:
     """The first digit stays, the check digit follows from the others."""
     luhn = lambda x: F.call_function("luhn_check", x)
@@ -148,14 +245,34 @@ def _date(m: Column, key: str) -> Column:
     return _once(out, new)
 
 
+def _national(m: Column, key: str) -> Column:
+    """Zeros ahead and the digit after them stay, the others are permuted."""
+
+    def new(d: Column) -> Column:
+        ahead = F.length(F.regexp_extract(d, "^0*[1-9]", 0))
+        return F.concat(d.substr(F.lit(1), ahead), _once(d.substr(ahead + 1, F.length(d)), lambda x: permuted_digits(x, key, "national")))
+
+    return _once(_once(F.regexp_replace(m, "[^0-9]", ""), new), lambda w: respelled(m, w))
+
+
+def _iban_valid(c: Column) -> Column:
+    """Of a compact IBAN in capitals."""
+    return mod97(F.concat(c.substr(F.lit(5), F.length(c)), c.substr(1, 4))) == 1
+
+
 def _iban(m: Column, key: str) -> Column:
-    """The country and letters stay, other digits are permuted, the check digits follow."""
-    body = m.substr(F.lit(5), F.length(m))
-    digits = F.regexp_replace(body, "[^0-9]", "")
-    new = _once(_once(digits, lambda x: permuted_digits(x, key, "iban")), lambda w: respelled(body, w))
-    country = m.substr(1, 2)
-    whole = _once(new, lambda b: F.concat(country, F.lpad((F.lit(98) - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
-    return F.when((mod97(F.concat(body, m.substr(1, 4))) == 1) & (F.length(digits) >= 2), whole)
+    """The country and letters stay, other digits are permuted, the check digits follow; spaces and case stay."""
+
+    def new(c: Column) -> Column:
+        body = c.substr(F.lit(5), F.length(c))
+        digits = F.regexp_replace(body, "[^0-9]", "")
+        country = c.substr(1, 2)
+        moved = _once(digits, lambda x: permuted_digits(x, key, "iban"))
+        check = lambda w: F.lpad((F.lit(98) - mod97(F.concat(respelled(body, w), country, F.lit("00")))).cast("string"), 2, "0")
+        whole = _once(_once(moved, lambda w: F.concat(check(w), w)), lambda w: respelled(m, w))
+        return F.when(_iban_valid(c) & (F.length(digits) >= 2), whole)
+
+    return _once(F.upper(F.regexp_replace(m, "[ ]", "")), new)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -167,7 +284,7 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(ahead, F.lit("SECRET-"), F.substring(_digest(key, "secret", m.substr(F.length(ahead) + 1, F.length(m))), 1, 12))
 
 
-_MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+_MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "national": _national}
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -179,14 +296,16 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
     """docs with the text's valid personal data replaced, and n_found (int), how many were.
 
     A null text stays null with n_found 0; texts without candidates are untouched; candidates that
-    fail validation stay. No shuffle: one pass of the pattern over each whole text, a second over
+    fail validation stay, but for valid ones within them. No shuffle: one pass of the pattern over each whole text, a second over
     those with candidates. A column n_found of docs is replaced, others stay.
     """
     t = F.col(text)
     df = docs.withColumn("__gv_found", F.regexp_extract_all(t, F.lit(FINDER), F.lit(0)))
-    new = F.transform("__gv_found", lambda m: pseudonym(m, key))
+    # Of each candidate its text, and how many values of it were replaced.
+    told = lambda ps: F.struct(F.array_join(F.transform(ps, lambda p: F.coalesce(p["new"], p["text"])), "").alias("text"), F.size(F.filter(ps, lambda p: p["new"].isNotNull())).alias("n"))
+    new = F.transform("__gv_found", lambda m: _once(F.transform(_pieces(m), lambda p: F.struct(p["text"].alias("text"), F.when(p["tried"], pseudonym(p["text"], key)).alias("new"))), told))
     df = df.withColumn("__gv_new", F.when(F.size("__gv_found") > 0, new))
     gaps = F.split(t, FINDER, -1)
-    woven = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__gv_new"), i), F.get(F.col("__gv_found"), i), F.lit("")))), "")
-    count = F.when(F.size("__gv_found") > 0, F.size(F.filter("__gv_new", lambda x: x.isNotNull()))).otherwise(0)
+    woven = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__gv_new"), i)["text"], F.lit("")))), "")
+    count = F.when(F.size("__gv_found") > 0, F.aggregate("__gv_new", F.lit(0), lambda a, x: a + x["n"])).otherwise(0)
     return df.withColumn("n_found", count).withColumn(text, F.when(F.col("n_found") > 0, woven).otherwise(t)).drop("__gv_found", "__gv_new")

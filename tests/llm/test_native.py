@@ -106,6 +106,28 @@ def test_pseudonyms(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def test_pseudonyms_within_failed_candidates(spark):
+    card = "4111 1111 1111 1111"
+    (new, _), (phone, _), (long, _) = pii(spark, card, "988 555 2485", "1 23 " * 3000 + card)
+    assert new != card and phone != "988 555 2485" and long.endswith(new)
+    texts = ["{c} 12/25", "order 12 {c}", "12345 {c} 99 1", "{c} {c}", "{c} 12a", "7 {c} {p}", "5693240340017844 {p}", "DE12 4111 1111 1111 1111 11 {p}"]
+    got = pii(spark, *[t.format(c=card, p="988 555 2485") for t in texts])
+    assert [g[0] for g in got[:7]] == [t.format(c=new, p=phone) for t in texts[:7]]
+    assert [g[1] for g in got[:7]] == [1, 1, 1, 2, 1, 2, 1] and got[7][0].endswith(phone)
+
+
+def test_pseudonyms_of_other_spellings(spark):
+    plain = pii(spark, "DE89370400440532013000")[0][0]
+    spaced = " ".join(plain[i : i + 4] for i in range(0, 22, 4))
+    got = pii(spark, "to DE89 3704 0044 0532 0130 00 and then", "de89370400440532013000", "de89 3704 0044 0532 0130 00.", "DE89 3704 0044 0532 0130 01")
+    assert got == [(f"to {spaced} and then", 1), (plain.lower(), 1), (spaced.lower() + ".", 1), ("DE89 3704 0044 0532 0130 01", 0)]
+    phones = ("030 1234567", "(030) 1234567", "0171-2345678", "01 23 45 67 89", "0123456789", "612 345 678", "91 123 45 67", "0049 30 1234567", "020 7946 0958")
+    got = pii(spark, *phones, *[f"call {x}, please" for x in phones])
+    for text, (new, n), (more, _) in zip(phones, got, got[len(phones) :], strict=False):
+        assert n == 1 and new != text and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", text) and more == f"call {new}, please", text
+    assert pii(spark, "in 2019 1000000 of 12.345678, 0.25")[0][1] == 0
+
+
 def test_pseudonyms_are_permutations(spark):
     days = spark.sql("SELECT id AS doc_id, date_format(date_add(DATE'1900-01-01', CAST(id * 24 AS INT)), 'yyyy-MM-dd') AS text FROM range(3037)")
     got = [r["text"] for r in op04_pii.pseudonymise(days, "k").collect()]
