@@ -5,7 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,26 +48,50 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df written to the shared folder and read again: computed once, and independent of lost executors.
 
-    rows: how many are expected at most, if known; then no more files are written than they need.
+    rows: how many are expected at most, if known; then they are dealt out to no more files than they
+    need, by a shuffle of their own, so that the stage before keeps its width.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // 250_000)))
+        df = df.repartition(max(4, -(-rows // 250_000)))
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Removes the scratch tables made so far."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may have ended already; then nothing can be removed
-            pass
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may have ended already; then nothing can be removed
+        pass
+
+
+def release(since: int = 0) -> None:
+    """Removes the scratch tables made so far, but for the first `since` of them."""
+    while len(_made) > since:
+        _remove(*_made.pop())
+
+
+@contextmanager
+def scratch_scope() -> Iterator:
+    """Gives a function keep(df, name): df staged to outlive the scope; all else staged within is removed at its end.
+
+    An operator stages its result through keep(), so that what it wrote on the way doesn't add up
+    over the stages of a pipeline.
+    """
+    since, left = len(_made), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        left.append(_made.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        release(since)
+        _made.extend(left)
 
 
 atexit.register(release)
@@ -78,6 +107,61 @@ def remainder(col: Column, by: int) -> Column:
     return F.crc32(col.cast("string")) % by
 
 
+#: Bytes of a Bloom filter at most, and the places that an id marks in it.
+_BLOOM_BYTES, _BLOOM_PLACES = 8 << 20, 4
+
+
+def _places(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    x = ids.astype(np.int64).view(np.uint64)
+    for k in range(_BLOOM_PLACES):
+        h = (x ^ np.uint64(0xD6E8FEB86659FD93 + k)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        yield (h ^ (h >> np.uint64(29))) & np.uint64(bits - 1)
+
+
+class Bloom:
+    """A Bloom filter of the long ids of a table, for executors: what it rules out is none of them.
+
+    It has 16 bits an id or more up to 8 MB in all; beyond that it rules out less and less, and what
+    it leaves is for an exact join. Words of it are united by key before and after the shuffle.
+    """
+
+    def __init__(self, ids: DataFrame, column: str) -> None:
+        n = ids.count()
+        self.bits = bits = min(8 * _BLOOM_BYTES, max(1 << 13, 1 << (16 * n).bit_length()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = np.zeros(bits // 64, dtype=np.uint64)
+            for batch in batches:
+                for at in _places(batch.column(0).to_numpy(), bits):
+                    np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+            set_ = np.flatnonzero(words)
+            yield pa.RecordBatch.from_arrays([pa.array(set_), pa.array(words[set_].view(np.int64))], names=["at", "word"])
+
+        got = ids.select(F.col(column).cast("long")).mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+        words = np.zeros(bits // 64, dtype=np.int64)
+        if n:
+            table = got.toArrow()
+            words[table.column("at").to_numpy()] = table.column("word").to_numpy()
+        self.sent = ids.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+    def maybe(self, ids: np.ndarray) -> np.ndarray:
+        """For each id whether it may be one of the table's."""
+        words, out = self.sent.value, np.ones(len(ids), dtype=bool)
+        for at in _places(ids, self.bits):
+            out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+    def column(self, id_: Column) -> Column:
+        """Whether an id may be one of the table's, as a column; null is none. Only the ids go to Python."""
+
+        @F.pandas_udf("boolean")
+        def told(x: pd.Series) -> pd.Series:
+            return pd.Series(self.maybe(x.to_numpy()))
+
+        return id_.isNotNull() & told(F.coalesce(id_.cast("long"), F.lit(0).cast("long")))
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node reachable.
 

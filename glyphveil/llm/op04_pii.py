@@ -292,8 +292,8 @@ def pseudonym(m: Column, key: str) -> Column:
     return F.coalesce(*[F.when(_is(m, kind), _MAKERS[kind](m, key)) for kind in PATTERNS])
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
-    """docs with the text's valid personal data replaced, and n_found (int), how many were.
+def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", found: str = "n_found") -> DataFrame:
+    """docs with the text's valid personal data replaced, and n_found (int, named by found), how many were.
 
     A null text stays null with n_found 0; texts without candidates are untouched; candidates that
     fail validation stay, but for valid ones within them. No shuffle: one pass of the pattern over each whole text, a second over
@@ -308,4 +308,4 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") ->
     gaps = F.split(t, FINDER, -1)
     woven = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__gv_new"), i)["text"], F.lit("")))), "")
     count = F.when(F.size("__gv_found") > 0, F.aggregate("__gv_new", F.lit(0), lambda a, x: a + x["n"])).otherwise(0)
-    return df.withColumn("n_found", count).withColumn(text, F.when(F.col("n_found") > 0, woven).otherwise(t)).drop("__gv_found", "__gv_new")
+    return df.withColumn(found, count).withColumn(text, F.when(F.col(found) > 0, woven).otherwise(t)).drop("__gv_found", "__gv_new")

@@ -19,10 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphveil.llm.common import connected_components, staged
+from glyphveil.llm.common import Bloom, connected_components, scratch_scope, staged
 
 WORDS = 5
 #: Rows of a pair matrix that are worked on at once.
@@ -39,17 +39,20 @@ class Settings:
     values: int = 64
     small: int = 256
     block: int = 1024
-    depth: int = 4
+    depth: int = 8
     fork: int = 2
     dense: float = 0.5
-    slack: float = 4.2
+    slack: float = 5.5
 
     @property
     def runs(self) -> int:
-        """Runs until the chance that a pair at the threshold never meets is below 1 - recall, if every path goes to full depth."""
+        """Runs until the chance that a pair at the threshold is lost is below 1 - recall, if every path goes to full depth: it never meets, or too few of its values agree."""
         t = self.over / self.under
         met = t * (1 - (1 - t) ** self.fork) ** (self.depth - 1)
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - met))
+        unlike = sum(math.comb(self.values, k) * t**k * (1 - t) ** (self.values - k) for k in range(self.agree))
+        if unlike >= 1 - self.recall:
+            raise ValueError("so little slack loses more pairs than the recall allows")
+        return math.ceil(math.log(1 - self.recall - unlike) / math.log(1 - met))
 
     @property
     def agree(self) -> int:
@@ -113,21 +116,30 @@ def _mixed(*parts: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of rows that repeat a doc_id apart."""
+    return F.xxhash64(text)
+
+
+def _set_hashes(x: np.ndarray) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(x.tobytes())
+    return h & (1 << 63) - 1, h >> 65
+
+
 def embedded(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, h1, h2, sig): the two hashes identify the set; all null but doc_id for a document without words."""
+    """(doc_id, text_key, h1, h2, sig): the two hashes identify the set, null with sig for a document without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         co = _coefficients(s.values)
         for batch in batches:
             out: list[tuple] = []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 x = shingles(t.as_py())
-                h = xxhash.xxh3_128_intdigest(x.tobytes())
-                out.append((h & (1 << 63) - 1, h >> 65, embed(x, s.values, co).tobytes()) if len(x) else (None, None, None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], type=k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["doc_id", "h1", "h2", "sig"])
+                out.append((*_set_hashes(x), embed(x, s.values, co).tobytes()) if len(x) else (None, None, None))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([o[i] for o in out], type=k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["doc_id", "text_key", "h1", "h2", "sig"])
         _words.clear()  # idle workers hold nothing
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, h1 long, h2 long, sig binary")
 
 
 def _split(rows: DataFrame, s: Settings, first: bool) -> DataFrame:
@@ -279,15 +291,21 @@ def _linked(t: pa.Table, s: Settings, width: int = 512) -> np.ndarray:
 
 
 def _local_roots(rep: np.ndarray, adjacent: np.ndarray) -> np.ndarray:
-    """For each row the smallest rep that it reaches within the group."""
-    root = rep.copy()
+    """For each row the smallest rep that it reaches within the group; adjacent is symmetric. Roots are hooked to smaller ones and paths halved, so rounds grow with the logarithm of the longest path."""
+    order = np.argsort(rep, kind="stable")
+    up = np.empty(len(rep), dtype=np.int64)
+    up[order] = np.arange(len(rep))  # ranks stand for rows: up[row] is the rank of the row's root
     while True:
-        new = root.copy()
+        least = up.copy()
         for k in range(0, len(rep), _ROWS):
-            new[k : k + _ROWS] = np.minimum(root[k : k + _ROWS], np.where(adjacent[k : k + _ROWS], root[None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (new == root).all():
-            return root
-        root = new
+            least[k : k + _ROWS] = np.minimum(up[k : k + _ROWS], np.where(adjacent[k : k + _ROWS], up[None, :], len(rep)).min(axis=1, initial=len(rep)))
+        if (least == up).all():
+            return rep[order][up]
+        root = np.arange(len(rep))
+        np.minimum.at(root, up, least)
+        while (root[root] != root).any():
+            root = root[root]
+        up = np.minimum(root[up], least)
 
 
 _ROW = "gid long, leaf long, crossed boolean, side int, rep long, n long, leaves array<long>"
@@ -343,16 +361,43 @@ def _grouped(at: DataFrame, s: Settings) -> DataFrame:
     return one.select(gid.alias("gid"), F.col("x.leaf").alias("leaf"), (low != high).alias("crossed"), F.when(F.col("own") == high, 1).otherwise(0).alias("side"), "rep", "n", "leaves", "data")
 
 
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, data): the sets of the classes wanted (rep, h1, h2), one row each.
+
+    Texts are never shuffled: a Bloom filter of the ids rules most rows out as they are read, the
+    others become sets, and an exact join by id and the set's hashes keeps those wanted.
+    """
+    ids = Bloom(wanted, "rep")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = batch.filter(pa.array(ids.maybe(batch.column(0).to_numpy())))
+            made = [shingles(t.as_py()) for t in near.column(1)]
+            made = [(x.tobytes(), *_set_hashes(x)) for x in made]
+            yield pa.RecordBatch.from_arrays([near.column(0), *(pa.array([m[i] for m in made], type=k) for i, k in ((1, pa.int64()), (2, pa.int64()), (0, pa.binary())))], names=["rep", "h1", "h2", "data"])
+        _words.clear()
+
+    found = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), "text").mapInArrow(sets, "rep long, h1 long, h2 long, data binary")
+    # The hashes are compared in a form that leaves rep the only key, so the rows lie as the next join by rep needs them.
+    same = (found["rep"] == wanted["rep"]) & ((found["h1"].bitwiseXOR(wanted["h1"])).bitwiseOR(found["h2"].bitwiseXOR(wanted["h2"])) == 0)
+    return found.join(wanted, same, "left_semi").select("rep", "data").dropDuplicates(["rep"])
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, class_id, component_id, n_links, kept.
+    """One row for each row of docs (doc_id, text): doc_id, class_id, component_id, n_links, kept, text_key.
 
     class_id: the smallest doc_id with the same set of 5-grams. n_links: other documents whose sets
     have at least the similarity, those of the class included. component_id: the smallest doc_id
     reachable by links. kept: whether doc_id is component_id. A document without words has no links
     and is a component of its own. One of fewer than five words has one gram, of all its words. Rows
-    that repeat a doc_id are copies of it. A null doc_id takes part in no class. An empty table gives
-    no rows; other columns aren't read.
+    that repeat a doc_id are copies of it; text_key (a hash of the text) tells them apart. A null
+    doc_id takes part in no class. An empty table gives no rows; other columns aren't read.
     """
+    with scratch_scope() as keep:
+        return keep(_near_duplicates(docs, s), "near_duplicates")
+
+
+def _near_duplicates(docs: DataFrame, s: Settings) -> DataFrame:
     all_ = staged(embedded(docs, s), "embedded")
     full = all_.where("h1 IS NOT NULL AND doc_id IS NOT NULL")
     classes = staged(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")), "classes")
@@ -360,19 +405,54 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     lists = at.groupBy("rep").agg(F.collect_set(F.struct("leaf", "size")).alias("leaves"))
     rows = classes.select("rep", "n", F.col("sig").alias("data")).join(lists, "rep")
     near = staged(_compare(_grouped(rows, s), s, False), "near")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], type=pa.binary())], names=["rep", "data"])
-        _words.clear()
-
-    wanted = staged(near.select("rep").distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi").dropDuplicates(["rep", "text"])
-    found = staged(_compare(near.join(texts.mapInArrow(sets, "rep long, data binary"), "rep"), s, True), "links")
+    wanted = staged(classes.join(near.select("rep").distinct(), "rep", "left_semi").select("rep", "h1", "h2"), "wanted")
+    found = staged(_compare(near.join(full_sets(docs, wanted), "rep"), s, True), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected_components(docs.sparkSession, found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     told = classes.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     told = told.select("h1", "h2", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = all_.select("doc_id", "h1", "h2").join(told, ["h1", "h2"], "left")
+    out = all_.select("doc_id", "text_key", "h1", "h2").join(told, ["h1", "h2"], "left")
     own = F.col("doc_id")
-    return out.select("doc_id", *[F.when(own.isNotNull(), F.coalesce(c, own)).alias(c) for c in ("class_id", "component_id")], F.when(own.isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")).withColumn("kept", own.isNull() | (own == F.col("component_id")))
+    out = out.select("doc_id", *[F.when(own.isNotNull(), F.coalesce(c, own)).alias(c) for c in ("class_id", "component_id")], F.when(own.isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), "text_key")
+    return out.withColumn("kept", own.isNull() | (own == F.col("component_id"))).select("doc_id", "class_id", "component_id", "n_links", "kept", "text_key")
+
+
+def measured_recall(docs: DataFrame, told: DataFrame, sample: int = 100) -> tuple[float, int]:
+    """The share of true links that told (near_duplicates of docs) counts for a sample of linked documents, and how many true links those have.
+
+    About `sample` documents that have links, by hashed doc_id, are compared on their full sets with
+    every document, in one pass; the sample and its sets are all that is sent. With no link told, as
+    many of all documents are taken, so that links that were all missed show.
+    """
+    some = told.where("n_links > 0 AND doc_id IS NOT NULL")
+    n = some.count()
+    some, n = (some, n) if n else (told.where("doc_id IS NOT NULL"), told.count())
+    at = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 40)) / float(1 << 40)
+    counted = {r["doc_id"]: r["n_links"] for r in some.where(at < min(1.0, sample / max(1, n))).select("doc_id", "n_links").distinct().limit(4 * sample).collect()}
+    mine = docs.where(F.col("doc_id").isin(list(counted))).select("doc_id", "text").collect() if counted else []
+    sent = docs.sparkSession.sparkContext.broadcast([(r["doc_id"], shingles(r["text"])) for r in mine])
+    s = Settings()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = [(i, x) for i, x in sent.value if len(x)]
+        members = np.concatenate([x for _, x in queries]) if queries else np.zeros(0, dtype=np.uint64)
+        owner = np.repeat(np.arange(len(queries)), [len(x) for _, x in queries])
+        order = np.argsort(members, kind="stable")
+        members, owner = members[order], owner[order]
+        sizes = np.array([len(x) for _, x in queries], dtype=np.int64)
+        ids = np.array([i for i, _ in queries], dtype=np.int64)
+        total = np.zeros(len(queries), dtype=np.int64)
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = shingles(t.as_py())
+                lo, hi = np.searchsorted(members, x, "left"), np.searchsorted(members, x, "right")
+                hit = np.flatnonzero(hi > lo)
+                if len(hit):
+                    places = np.concatenate([np.arange(lo[k], hi[k]) for k in hit])
+                    both = np.bincount(owner[places], minlength=len(queries))
+                    total += ((s.under + s.over) * both >= s.over * (sizes + len(x))) & (ids != i)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["doc_id", "true"])
+
+    true = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "doc_id long, true long").groupBy("doc_id").agg(F.sum("true").alias("true")).collect()
+    links = sum(r["true"] for r in true)
+    return (sum(min(counted[r["doc_id"]], r["true"]) for r in true) / links if links else 1.0), links

@@ -44,7 +44,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, component and number of links of every document."""
-    return op06_jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return op06_jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
