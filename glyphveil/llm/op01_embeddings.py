@@ -7,9 +7,11 @@ near vectors isn't cut through; a shard that stays large for that is compared ex
 blocks. In each other shard every vector is joined to neighbours chosen by robust pruning
 (a candidate goes if a chosen neighbour is nearer to it, by a factor, than the vector itself). The
 adjacency lists of all shards are united. Every vector then searches its home shard over the united
-graph: greedily from the medoid, and on from every vector in range until no new one is. Cosines are
-exact, so nothing below the threshold is ever linked; what the graph misses is measured by an audit
-against brute force, and shards overlap more, with no more centroids, until the audit is passed.
+graph: greedily from the medoid, and on from every vector in range until no new one is. Two vectors of
+different homes are counted in one of them only, told from their lists of shards, so tasks return
+counts and local roots and never a pair. Cosines are exact, so nothing below the threshold is ever
+linked; what the graph misses is measured by an audit against brute force, and shards overlap more,
+with no more centroids, until the audit is passed. If it never is, all pairs of blocks are compared.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphveil.llm.common import connected_components, staged
-from glyphveil.llm.op06_jaccard import _asked, _groups, _local_roots, _mixed
+from glyphveil.llm.common import connected_components, scratch_scope, staged
+from glyphveil.llm.op06_jaccard import _groups, _local_roots, _mixed
 
 
 @dataclass(frozen=True)
 class Settings:
-    """least: cosine of a link. shard: rows above which a shard is split, to a third of that on average with the copies. overlap: centroids that a vector goes to. fan: centroids a shard is split into at most, each fitted on `sample` rows on average. joined: share of links between the samples of two centroids from which they count as one. block: rows of a block of a shard that stays large. candidates, degree, alpha: of the pruning. beam: of the search. levels: of splitting. audited: queries of the audit, its bound. recall: wanted of it. sent: centroids broadcast at once, at most."""
+    """least: cosine of a link. shard: rows above which a shard is split, to a third of that on average with the copies. overlap: centroids that a vector goes to. fan: centroids a shard is split into at most, each fitted on `sample` rows on average. joined: share of links between the samples of two centroids from which they count as one. block: rows of a block of a shard that stays large. candidates, degree, alpha: of the pruning. beam: of the search. levels: of splitting. stuck: share of a shard that a part of it may hold at most to be split on. audited: queries of the audit among classes without links, and a quarter of it among those of each power of two of links. recall: wanted of it. sent: centroids broadcast at once, at most."""
 
     least: float = 0.98
     shard: int = 1500
@@ -43,6 +45,7 @@ class Settings:
     alpha: float = 1.2
     beam: int = 32
     levels: int = 8
+    stuck: float = 0.7
     audited: int = 256
     recall: float = 0.98
     sent: int = 16384
@@ -101,12 +104,15 @@ def _merged(x: np.ndarray, c: np.ndarray, s: Settings) -> np.ndarray:
     return np.unique(_local_roots(np.arange(len(c)), joined), return_inverse=True)[1]
 
 
+_DEALT = ["shard", "rep", "home", "n", "vec", "above"]
+
+
 def _dealt(rows: DataFrame, sizes: list[tuple[int, int]], s: Settings) -> DataFrame:
-    """Rows (shard, rep, home, n, vec) of large shards dealt to new shards around centroids."""
+    """Rows (shard, rep, home, n, vec, above) of large shards dealt to new shards around centroids; above: the size of the shard they come from."""
     fan = {shard: min(s.fan, max(2, -(-3 * s.overlap * size // s.shard))) for shard, size in sizes}
     share = {shard: min(1.0, s.sample * fan[shard] / size) for shard, size in sizes}
     sc = rows.sparkSession.sparkContext
-    plan = sc.broadcast((fan, share))
+    plan = sc.broadcast((fan, share, dict(sizes)))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +139,11 @@ def _dealt(rows: DataFrame, sizes: list[tuple[int, int]], s: Settings) -> DataFr
             vecs = batch.column(4).to_pylist()
             for x in np.unique(shard).tolist():
                 rows_ = np.flatnonzero(shard == x)
+                above = plan.value[2][x]
                 c, starts = sent.value.get(x, (None, ()))
                 if len(starts) < 2:  # it is one group, or no row of it was sampled: it stays whole
-                    yield batch.take(pa.array(rows_))
+                    part = batch.take(pa.array(rows_))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(np.full(len(rows_), above))], names=_DEALT)
                     continue
                 sims = np.frombuffer(b"".join(vecs[i] for i in rows_), dtype=np.float64).reshape(len(rows_), -1) @ c.T
                 sims = np.maximum.reduceat(sims, starts, axis=1)
@@ -144,36 +152,37 @@ def _dealt(rows: DataFrame, sizes: list[tuple[int, int]], s: Settings) -> DataFr
                 at = np.repeat(rows_, near.shape[1])
                 first = np.tile(np.arange(near.shape[1]) == 0, len(rows_))
                 part = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(new.reshape(-1)), part.column(1), pa.array(first & home[at]), part.column(3), part.column(4)], names=["shard", "rep", "home", "n", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(new.reshape(-1)), part.column(1), pa.array(first & home[at]), part.column(3), part.column(4), pa.array(np.full(len(at), above))], names=_DEALT)
 
-    return rows.mapInArrow(deal, "shard long, rep long, home boolean, n long, vec binary")
+    return rows.mapInArrow(deal, "shard long, rep long, home boolean, n long, vec binary, above long")
 
 
 def shards(classes: DataFrame, s: Settings) -> DataFrame:
-    """Rows (shard, rep, home, n, vec) of all classes; a shard that splitting doesn't make smaller stays as it is."""
-    rows = classes.select("shard", "rep", F.lit(True).alias("home"), "n", "vec")
-    done, above = None, None
+    """Rows (shard, rep, home, n, vec, whole) of all classes; whole: of a large shard that splitting doesn't make smaller."""
+    rows = classes.select("shard", "rep", F.lit(True).alias("home"), "n", "vec", F.lit(0).cast("long").alias("above"))
+    done = None
     for level in range(s.levels + 1):
         rows = staged(rows, "shards")
-        counts = rows.groupBy("shard").agg(F.count("*").alias("size"))
-        large = counts.where(F.col("size") > s.shard)
-        n = large.count() if level < s.levels else 0
-        total = large.agg(F.sum("size")).first()[0] if n else 0
-        if not n or (above is not None and total > 0.9 * above * s.overlap):
-            return rows if done is None else done.unionByName(rows)
-        above = total
-        parts = -(-n * s.fan // s.sent)
-        ended = rows.join(large, "shard", "left_anti")
+        counts = rows.groupBy("shard").agg(F.count("*").alias("size"), F.max("above").alias("above"))
+        whole = (F.col("above") > 0) & (F.col("size") > F.col("above") * s.stuck) | F.lit(level == s.levels)
+        large = staged(counts.where(F.col("size") > s.shard).select("shard", "size", whole.alias("whole")), "large")
+        told = rows.join(large.select("shard", "whole"), "shard", "left")
+        ended = told.where("whole IS NULL OR whole").select("shard", "rep", "home", "n", "vec", F.coalesce("whole", F.lit(False)).alias("whole"))
         done = ended if done is None else done.unionByName(ended)
+        open_ = large.where("NOT whole")
+        n = open_.count()
+        if not n:
+            return done
+        parts = -(-n * s.fan // s.sent)
         next_ = None
         for i in range(parts):
             mine = F.pmod(F.xxhash64("shard"), F.lit(parts)) == i
-            sizes = [(r["shard"], r["size"]) for r in large.where(mine).toLocalIterator()]
+            sizes = [(r["shard"], r["size"]) for r in open_.where(mine).toLocalIterator()]
             if sizes:
-                dealt = _dealt(rows.where(mine).join(large, "shard", "left_semi").select("shard", "rep", "home", "n", "vec"), sizes, s)
+                dealt = _dealt(rows.where(mine).join(open_, "shard", "left_semi").select("shard", "rep", "home", "n", "vec"), sizes, s)
                 next_ = dealt if next_ is None else next_.unionByName(dealt)
         rows = next_
-    return done.unionByName(rows)
+    return done
 
 
 def pruned(x: np.ndarray, s: Settings, block: int = 512) -> list[np.ndarray]:
@@ -261,13 +270,48 @@ def _build(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(rep[k : k + 4096]), pa.array([rep[x].tolist() for x in near[k : k + 4096]], type=pa.list_(pa.int64()))], names=["rep", "near"])
 
 
+def _times(hit: np.ndarray, n: np.ndarray, band: int = 512) -> np.ndarray:
+    """hit @ n for a matrix of truth values, in bands."""
+    return np.concatenate([hit[k : k + band] @ n.astype(np.float64) for k in range(0, len(hit), band)] or [np.zeros(0)]).astype(np.int64)
+
+
+def _tally(t: pa.Table, hit: np.ndarray) -> pa.RecordBatch:
+    """(rep, links, root) of a group of rows of one shard, from the symmetric matrix of pairs in range.
+
+    A pair counts here if one of the two is at home here; but not if the other's home has a smaller
+    number and sees both too, for there it counts.
+    """
+    shard = t.column("shard")[0].as_py()
+    rep, n, own = (t.column(c).to_numpy() for c in ("rep", "n", "own"))
+    at_home = t.column("home").to_numpy(zero_copy_only=False)
+    here, away = np.flatnonzero(at_home), np.flatnonzero(~at_home)
+    links = np.zeros(len(rep), dtype=np.int64)
+    links[here] = _times(hit[np.ix_(here, here)], n[here])
+    if len(away):
+        homes, place = np.unique(own[away], return_inverse=True)
+        lists = t.column("shards").combine_chunks().take(pa.array(here))
+        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        at = np.searchsorted(homes, flat).clip(max=len(homes) - 1)
+        seen = (homes[at] == flat) & (flat < shard)
+        there = np.zeros((len(here), len(homes)), dtype=bool)
+        there[np.repeat(np.arange(len(here)), sizes)[seen], at[seen]] = True
+        cross = hit[np.ix_(here, away)] & ~there[:, place]
+        links[here] += _times(cross, n[away])
+        links[away] = _times(np.ascontiguousarray(cross.T), n[here])
+    root = _local_roots(rep, hit)
+    told = np.flatnonzero((links > 0) | (root != rep))
+    return pa.RecordBatch.from_arrays([pa.array(x[told]) for x in (rep, links, root)], names=["rep", "links", "root"])
+
+
+_TALLY = "rep long, links long, root long"
+
+
 def _search(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """For each shard: (rep, other, links, root). other null: links within the home shard and the smallest rep reached; else a pair with another home."""
+    """The tally of each shard by search over the graph from every row at home in it."""
     for t in _groups(batches):
-        rep, n, home = t.column("rep").to_numpy(), t.column("n").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
+        rep, home = t.column("rep").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
         if len(rep) < 2 or not home.any():
             continue
-        x = _matrix(t.column("vec"))
         order = np.argsort(rep, kind="stable")
         lists = t.column("near").to_pylist()
         sizes = np.array([len(v or ()) for v in lists])
@@ -283,97 +327,82 @@ def _search(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
         degree = np.bincount(row, minlength=len(rep))
         adjacent = np.full((len(rep), max(1, degree.max(initial=0))), -1, dtype=np.int64)
         adjacent[row, np.arange(len(row)) - np.repeat(np.cumsum(degree) - degree, degree)] = place
-        root = np.arange(len(rep))
-        pairs: list[tuple] = []
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        links = np.zeros(len(rep), dtype=np.int64)
-        for q, hit in search(x, adjacent, np.flatnonzero(home), s):
-            links[q] = (hit & home[None, :]) @ n
-            for i, a in enumerate(q.tolist()):
-                for b in np.flatnonzero(hit[i]).tolist():
-                    u, v = find(a), find(b)
-                    if u != v:
-                        if rep[u] < rep[v]:
-                            root[v] = u
-                        else:
-                            root[u] = v
-            i, b = np.nonzero(hit & ~home[None, :])
-            pairs += zip(rep[q[i]].tolist(), rep[b].tolist(), strict=True)
-            if len(pairs) > 50_000:
-                yield _found([(a, b, 0, min(a, b)) for a, b in pairs])
-                pairs = []
-        own = [find(i) for i in range(len(rep))]
-        yield _found([(a, b, 0, min(a, b)) for a, b in pairs] + [(int(rep[i]), None, int(links[i]), int(rep[own[i]])) for i in range(len(rep)) if links[i] or own[i] != i])
+        hit = np.zeros((len(rep), len(rep)), dtype=bool)
+        for q, found in search(_matrix(t.column("vec")), adjacent, np.flatnonzero(home), s):
+            hit[q] = found
+        hit |= hit.T
+        yield _tally(t, hit)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], s: Settings, band: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same of shards that stay large, for each group (gid) of one block or two, all pairs compared."""
+    """The tally of each group (gid) of one block or two of a shard, all pairs of it compared."""
     for t in _groups(batches):
-        rep, n, home = t.column("rep").to_numpy(), t.column("n").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
-        if len(rep) < 2 or not home.any():
+        if t.num_rows < 2 or not t.column("home").to_numpy(zero_copy_only=False).any():
             continue
-        x = _matrix(t.column("vec"))
+        x, side = _matrix(t.column("vec")), t.column("side").to_numpy()
         hit = np.zeros((len(x), len(x)), dtype=bool)
-        for k in range(0, len(x), band):
-            hit[k : k + band] = x[k : k + band] @ x.T >= s.least
-        hit &= hit.T & _asked(t.column("crossed")[0].as_py(), t.column("side").to_numpy())
-        root = _local_roots(rep, hit)
-        links = np.where(home, (hit @ np.where(home, n, 0).astype(np.float64)).astype(np.int64), 0)
-        for k in range(0, len(x), band):
-            i, b = np.nonzero(hit[k : k + band] & home[k : k + band, None] & ~home[None, :])
-            if len(i):
-                yield _found([(a, b, 0, min(a, b)) for a, b in zip(rep[k + i].tolist(), rep[b].tolist(), strict=True)])
-        yield _found([(int(rep[i]), None, int(links[i]), int(root[i])) for i in np.flatnonzero((links > 0) | (root != rep))])
+        if t.column("crossed")[0].as_py():
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            for k in range(0, len(a), band):
+                hit[np.ix_(a[k : k + band], b)] = x[a[k : k + band]] @ x[b].T >= s.least
+        else:
+            for k in range(0, len(x), band):
+                hit[k : k + band] = x[k : k + band] @ x.T >= s.least
+            hit = np.triu(hit, 1)
+        hit |= hit.T
+        yield _tally(t, hit)
 
 
 def _in_blocks(rows: DataFrame, s: Settings) -> DataFrame:
-    """Rows (shard, rep, home, n, vec, size) for each pair of blocks of their shard: (gid, crossed, side, rep, home, n, vec)."""
+    """Rows (shard, rep, home, n, vec, own, shards, size) for each pair of blocks of their shard: (gid, crossed, side, ...)."""
     blocks = F.ceil(F.col("size") / s.block).cast("int")
-    at = rows.withColumn("own", F.pmod(F.xxhash64("rep", "shard"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    return at.select(F.xxhash64("shard", low, high).alias("gid"), (low != high).alias("crossed"), F.when(F.col("own") == high, 1).otherwise(0).alias("side"), "rep", "home", "n", "vec")
-
-
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.int64()) for i in range(4)], names=["rep", "other", "links", "root"])
-
-
-def linked(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(rep, links) and edges (a, b) of the classes (rep, n, shard, vec), by shards, graph and search."""
-    rows = staged(shards(classes, s), "shards")
-    whole = staged(rows.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > s.shard), "whole")
-    paired = _in_blocks(rows.join(whole, "shard"), s).repartition("gid").sortWithinPartitions("gid")
-    exact = paired.mapInArrow(lambda b: _blocks(b, s), "rep long, other long, links long, root long")
-    rows = rows.join(whole, "shard", "left_anti")
-    lists = rows.select("shard", "rep", "vec").repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda b: _build(b, s), "rep long, near array<long>")
-    graph = staged(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    laid = rows.join(graph, "rep", "left").select("shard", "rep", "home", "n", "vec", "near").repartition("shard").sortWithinPartitions("shard")
-    found = staged(laid.mapInArrow(lambda b: _search(b, s), "rep long, other long, links long, root long").unionByName(exact), "found")
-    pairs = found.where("other IS NOT NULL").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-    ends = pairs.union(pairs.select("b", "a")).toDF("rep", "with")
-    across = ends.join(classes.select(F.col("rep").alias("with"), "n"), "with").select("rep", F.col("n").alias("links"))
-    links = found.where("other IS NULL").select("rep", "links").unionByName(across).groupBy("rep").agg(F.sum("links").alias("links"))
-    return links, found.select(F.col("rep").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(pairs)
-
-
-def audit(classes: DataFrame, links: DataFrame, s: Settings) -> float:
-    """The share of true links found, over a bounded sample of classes, each compared with all rows of its label in blocks."""
-    n = classes.count()
+    at = rows.withColumn("part", F.pmod(F.xxhash64("rep", "shard"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    return at.select(F.xxhash64("shard", low, high).alias("gid"), (low != high).alias("crossed"), F.when(F.col("part") == high, 1).otherwise(0).alias("side"), "shard", "rep", "home", "n", "vec", "own", "shards")
+
+
+def linked(classes: DataFrame, s: Settings, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rep, links) and edges (a, b) of the classes (rep, n, shard, vec), by shards, graph and search; or exact, by all pairs of blocks."""
+    if exact:
+        rows = classes.select("shard", "rep", F.lit(True).alias("home"), "n", "vec", F.lit(True).alias("whole"))
+    else:
+        rows = staged(shards(classes, s), "shards")
+    # A class lies in few shards, so its list is short, whatever its links.
+    lists = staged(rows.groupBy("rep").agg(F.collect_set("shard").alias("shards"), F.max(F.when(F.col("home"), F.col("shard"))).alias("own")), "lists")
+    whole = staged(rows.where("whole").groupBy("shard").agg(F.count("*").alias("size")), "whole")
+    placed = rows.join(lists, "rep")
+    paired = _in_blocks(placed.where("whole").join(whole, "shard"), s).repartition("gid").sortWithinPartitions("gid")
+    found = paired.mapInArrow(lambda b: _blocks(b, s), _TALLY)
+    if not exact:
+        small = rows.where("NOT whole").select("shard", "rep", "vec").repartition("shard").sortWithinPartitions("shard")
+        graph = staged(small.mapInArrow(lambda b: _build(b, s), "rep long, near array<long>").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
+        laid = placed.where("NOT whole").join(graph, "rep", "left").select("shard", "rep", "home", "n", "vec", "own", "shards", "near").repartition("shard").sortWithinPartitions("shard")
+        found = found.unionByName(laid.mapInArrow(lambda b: _search(b, s), _TALLY))
+    found = staged(found, "found")
+    return found.groupBy("rep").agg(F.sum("links").alias("links")), found.select(F.col("rep").alias("a"), F.col("root").alias("b")).where("a <> b")
+
+
+def audit(classes: DataFrame, links: DataFrame, s: Settings) -> tuple[float, int]:
+    """The mean share of its true links that a class was told, over classes that have any, and how many true links that rests on.
+
+    Classes are drawn apart by how many links they were told: none, one, two or three, up to seven,
+    and so on; so a large group outweighs no others and there are true links to see wherever any were
+    found. Each is compared with all rows of its label and stands for its share of those alike.
+    """
+    told = classes.select("rep").join(links, "rep", "left").select("rep", F.coalesce("links", F.lit(0)).alias("links"))
+    told = told.withColumn("level", F.when(F.col("links") > 0, F.length(F.bin("links"))).otherwise(0))
+    sizes = {r["level"]: r["count"] for r in told.groupBy("level").count().collect()}
     at = F.pmod(F.xxhash64("rep", F.lit(4)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = classes.where(at < min(1.0, s.audited / max(1, n))).select("rep", "shard", "vec").orderBy("rep").limit(4 * s.audited).collect()
+    share = F.lit(0.0)
+    for level, n in sizes.items():
+        share = F.when(F.col("level") == level, F.lit(min(1.0, (s.audited if level == 0 else s.audited // 4) / n))).otherwise(share)
+    chosen = {r["rep"]: r for r in told.where(at < share).limit(4 * s.audited * (1 + len(sizes))).collect()}
     if not chosen:
-        return 1.0
-    by: dict[int, tuple] = {}
-    for shard in {r["shard"] for r in chosen}:
-        mine = [r for r in chosen if r["shard"] == shard]
-        by[shard] = np.array([r["rep"] for r in mine]), np.array([np.frombuffer(r["vec"]) for r in mine])
-    sent = classes.sparkSession.sparkContext.broadcast(by)
+        return 1.0, 0
+    by: dict[int, list] = {}
+    for r in classes.where(F.col("rep").isin(list(chosen))).select("rep", "shard", "vec").collect():
+        by.setdefault(r["shard"], []).append((r["rep"], np.frombuffer(r["vec"])))
+    sent = classes.sparkSession.sparkContext.broadcast({x: (np.array([r for r, _ in v]), np.array([u for _, u in v])) for x, v in by.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
@@ -390,9 +419,19 @@ def audit(classes: DataFrame, links: DataFrame, s: Settings) -> float:
                         total[r] = total.get(r, 0) + k
         yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int64()), pa.array(list(total.values()), type=pa.int64())], names=["rep", "true"])
 
-    true = classes.select("shard", "rep", "n", "vec").mapInArrow(run, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
-    got = true.join(links, "rep", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return 1.0 if not got["t"] else got["f"] / got["t"]
+    true = classes.select("shard", "rep", "n", "vec").mapInArrow(run, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true")).collect()
+    drawn: dict[int, int] = {}
+    for r in chosen.values():
+        drawn[r["level"]] = drawn.get(r["level"], 0) + 1
+    part = weight = seen = 0.0
+    for r in true:
+        if r["true"]:
+            of = chosen[r["rep"]]
+            w = sizes[of["level"]] / drawn[of["level"]]
+            part += w * min(1.0, of["links"] / r["true"])
+            weight += w
+            seen += r["true"]
+    return (part / weight if weight else 1.0), int(seen)
 
 
 def near_duplicates(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -401,19 +440,25 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     Vectors of one label and length link from cosine s.least on. A vector that is null, empty, zero or
     holds a null or non-finite component, or has a null label, links with nothing. Equal vectors link
     with each other; rows that repeat a vec_id count as copies. A null vec_id links with nothing. An
-    empty table gives no rows. If the audit isn't passed, shards overlap twice as much, three times at
-    most; then it is an error.
+    empty table gives no rows. If the audit isn't passed, shards overlap twice as much, twice at most;
+    then all pairs of a label are compared, in blocks.
     """
+    with scratch_scope() as keep:
+        return keep(_near_duplicates(vectors, s), "near_duplicates")
+
+
+def _near_duplicates(vectors: DataFrame, s: Settings) -> DataFrame:
     units = staged(unit_vectors(vectors), "units")
     valid = units.where("h1 IS NOT NULL AND vec_id IS NOT NULL")
     classes = staged(valid.groupBy("shard", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "classes")
-    for wider in (1, 2, 4, 8):
+    for wider in (1, 2, 4, None):
+        if wider is None:
+            links, edges = linked(classes, s, exact=True)
+            break
         links, edges = linked(classes, replace(s, overlap=s.overlap * wider, shard=s.shard * wider))
         links = staged(links, "links")
-        if (got := audit(classes, links, s)) >= s.recall:
+        if audit(classes, links, s)[0] >= s.recall:
             break
-    else:
-        raise RuntimeError(f"the audit found {got:.3f} of the links")
     roots = connected_components(vectors.sparkSession, edges).withColumnRenamed("node", "rep")
     told = classes.select("shard", "h1", "h2", "rep", "n").join(links, "rep", "left").join(roots, "rep", "left")
     told = told.select("shard", "h1", "h2", F.coalesce("root", "rep").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("k"))

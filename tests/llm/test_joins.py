@@ -124,6 +124,36 @@ def near_group(n, dims=64, seed=5):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def vector_classes(spark, x):
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    return op01_embeddings.unit_vectors(df).select("shard", F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("n"), "vec")
+
+
+def linked_pairs(spark, x):
+    return op01_embeddings.linked(vector_classes(spark, x), op01_embeddings.Settings())[0].agg(F.sum("links")).first()[0]
+
+
+def test_vectors_audit_sees_what_is_lost(spark):
+    """A sparse table: pairs of near vectors, found by a crippled search, which fails the audit and is then mended."""
+    r = np.random.default_rng(9)
+    base = r.normal(size=(700, 24))
+    x = np.concatenate([base, base[:120] + 0.03 * r.normal(size=(120, 24))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.98).sum(axis=1) - 1
+    s = op01_embeddings.Settings(shard=100, overlap=1, sample=4, beam=1, degree=1, candidates=1)
+    classes = vector_classes(spark, x)
+    links, _ = op01_embeddings.linked(classes, s)
+    got, seen = op01_embeddings.audit(classes, links.where("rep % 2 = 0"), s)
+    assert got < 0.9 and seen >= 100
+    got, seen = op01_embeddings.audit(classes, links.where("false"), s)
+    assert got == 0.0 and seen > 0
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    told = {r["vec_id"]: r["n_links"] for r in op01_embeddings.near_duplicates(df, s).collect()}
+    assert sum(told.values()) >= 0.97 * true.sum() and all(told[i] <= true[i] for i in told)
+    exact, _ = op01_embeddings.linked(classes, s, exact=True)
+    assert {r["rep"]: r["links"] for r in exact.where("links > 0").collect()} == {i: int(k) for i, k in enumerate(true) if k}
+
+
 def test_vectors_of_a_large_near_group(spark):
     x = near_group(3000)
     assert (x @ x.T).min() > 0.98
@@ -132,6 +162,7 @@ def test_vectors_of_a_large_near_group(spark):
     links, _ = op01_embeddings.linked(classes, op01_embeddings.Settings())
     found = links.agg(F.sum("links")).first()[0]
     assert found == 3000 * 2999, found / (3000 * 2999)
+    assert linked_pairs(spark, near_group(6000, seed=8)) == 6000 * 5999
     # Beside others, which a split does take apart.
     y = np.random.default_rng(6).normal(size=(4000, 64))
     df = df.where("vec_id < 2000").union(spark.createDataFrame([(5000 + i, v.tolist(), 1) for i, v in enumerate(y)], df.schema))
