@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space between words: space and U+0009 to U+000D, as the contracts' pattern has it.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -102,6 +103,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df that have none of these names; capitals don't tell names apart, as for Spark."""
+    told = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in told]
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their exact names, whatever signs they hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """df with its columns named by place: for Python workers, which can't be sent all names that tables may have."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """At which place df has a column."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of df and, after it, the fields of ddl."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def remainder(col: Column, by: int) -> Column:
     """crc32 of an integer as text, modulo by: how rows are held out of learning."""
     return F.crc32(col.cast("string")) % by

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphveil.llm.common import BLANKS, staged
+from glyphveil.llm.common import BLANKS, by_place, others, quoted, staged, with_fields
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -68,16 +68,15 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 
 def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, with COUNTS (long) of every whole text; a null text counts as empty. No shuffle."""
-    keep = [c for c in docs.columns if c != text and c not in COUNTS]
+    keep = others(docs, text, *COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([text_counts(t.as_py() or "") for t in batch.column(0)], dtype=np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(got[:, i]) for i in range(len(COUNTS)))], names=[*keep, *COUNTS])
 
-    picked = docs.select(F.col(text).alias("_text"), *[f"`{c}`" for c in keep])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[1:]] + [f"{c} long" for c in COUNTS]
-    return picked.mapInArrow(run, ", ".join(fields))
+    picked = docs.select(F.col(text).alias("__gv_text"), *quoted(keep))
+    return by_place(picked).mapInArrow(run, with_fields(docs.select(*quoted(keep)), ", ".join(f"{c} long" for c in COUNTS)))
 
 
 def sketch_bin(v: Column) -> Column:

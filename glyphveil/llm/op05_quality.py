@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphveil.llm.common import by_place, others, place_of, quoted, with_fields
 from glyphveil.llm.op10_langid import temperature
 
 #: Words: runs of letters, runs of digits, single signs.
@@ -28,7 +29,7 @@ _WORDS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
 @dataclass(frozen=True)
 class Settings:
-    """buckets: hashed words. dims: of a word vector. signs: entries of an index vector. window: neighbours on each side. sample: labelled rows to fit on, its bound. hidden: units. steps, rate, batch: the optimiser's. aside: one row of so many calibrates."""
+    """buckets: hashed words. dims: of a word vector. signs: entries of an index vector. window: neighbours on each side. sample: labelled rows to fit on, at most. hidden: units. steps, rate, batch: the optimiser's. aside: one row of so many calibrates."""
 
     buckets: int = 1 << 13
     dims: int = 32
@@ -198,25 +199,30 @@ def fit(x: np.ndarray, y: np.ndarray, aside: np.ndarray, s: Settings) -> Network
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "quality") -> tuple[np.ndarray, Network]:
     """Word vectors from all docs (doc_id, text), and the network from those docs that labels (doc_id, label) covers.
 
-    Null labels don't count; of several labels of one document the least holds. The fitted rows are
-    those whose hashed doc_id is lowest, s.sample of them on average; they alone are joined by broadcast.
+    Null labels don't count; of several labels of one document the least holds. Fitted are at most
+    s.sample documents, those of the lowest hashed doc_id, joined by broadcast; and of their rows, where
+    ids repeat, the s.sample of the lowest hash of id and text, rows that repeat both counting once.
     """
     vectors = word_vectors(context_sums(docs, s), s)
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     n = known.count()
-    at = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(50)), F.lit(1 << 40)) / float(1 << 40)
-    chosen = known.where(at < min(1.0, s.sample / max(1, n))).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    hashed = lambda seed, *cols: F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 40))
+    # A first cut by hash leaves twice as many as wanted, so that ranking them is bounded work.
+    at = hashed(50, F.col("doc_id").cast("string"))
+    chosen = known.withColumn("at", at).where(F.col("at") < min(1 << 40, int(2 * s.sample / max(1, n) * (1 << 40)))).orderBy("at", "doc_id").limit(s.sample).drop("at")
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(51)), F.lit(s.aside)).cast("int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", part.alias("part"), "text")
+    h = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", part.alias("part"), h.alias("h"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = hasher(s.buckets)
         for batch in batches:
-            x = [pooled(h.text(t.as_py()), sent.value).tobytes() for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, type=pa.binary())], names=["doc_id", "label", "part", "x"])
+            x = [pooled(h.text(t.as_py()), sent.value).tobytes() for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(x, type=pa.binary())], names=["doc_id", "label", "part", "h", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, part int, x binary").toPandas()
+    made = rows.mapInArrow(run, "doc_id long, label int, part int, h long, x binary").dropDuplicates(["doc_id", "h"])
+    got = made.orderBy(hashed(52, "h"), "h", "doc_id").limit(s.sample).toPandas()
     got = got.sort_values(["doc_id", "x"]) if len(got) else got
     x = np.array([np.frombuffer(b, dtype=np.float32) for b in got["x"]], dtype=float).reshape(-1, 2 * s.dims + 3)
     return vectors, fit(x, got["label"].to_numpy(dtype=float), got["part"].to_numpy(dtype=int) == 0, s)
@@ -228,15 +234,16 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, text: str = "text"
     Whole texts are scored; null and empty ones get the network's score of no words. No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast((vectors, net))
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    keep = others(docs, "score", "predicted")
+    picked = docs.select(*quoted(keep))
+    at = place_of(picked, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vec, n = sent.value
         h = hasher(len(vec))
         for batch in batches:
-            x = np.array([pooled(h.text(t.as_py()), vec) for t in batch.column(text)], dtype=float).reshape(-1, 2 * vec.shape[1] + 3)
+            x = np.array([pooled(h.text(t.as_py()), vec) for t in batch.column(at)], dtype=float).reshape(-1, 2 * vec.shape[1] + 3)
             p = n.scores(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= cut).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    picked = docs.select(*[f"`{c}`" for c in keep])
-    return picked.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema), "score double, predicted int"]))
+    return by_place(picked).mapInArrow(run, with_fields(picked, "score double, predicted int"))

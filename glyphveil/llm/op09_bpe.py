@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphveil.llm.common import by_place, others, place_of, quoted, with_fields
+
 #: Letters that the quick word pattern knows; texts with other characters take the general pattern.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ˁ"
 _OTHER = re.compile("[^\t-\r\x20-\x7e¡-©«-±´¶-¸»¿–—‘-„€" + _LETTERS + "]")
@@ -239,21 +241,19 @@ def bpe_round_trip(docs: DataFrame, path: str, text: str = "text", ids: str | No
 
 def _map(df: DataFrame, path: str, col: str, kinds: dict, ddl: str, make, empty="") -> DataFrame:
     raw = df.sparkSession.sparkContext.broadcast(vocabulary(path))
-    keep = [c for c in df.columns if c not in kinds]
-    if col in kinds:
-        df = df.withColumn(f"{col}__in", F.col(col))
-        col, carried = f"{col}__in", False
-    else:
-        carried = True
+    keep = others(df, *kinds)
+    left = df.select(*quoted(keep))
+    # A column that is replaced goes to the workers at the end, under a name of its own, and isn't given back.
+    carried = col.lower() in {c.lower() for c in keep}
+    picked = left if carried else df.select(*quoted(keep), F.col(col).alias("__gv_in"))
+    at = place_of(left, col) if carried else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(raw.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                made = [make(c, x.as_py() if x.is_valid else empty) for x in batch.column(col)]
-                yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array([m[i] for m in made], type=kind) for i, kind in enumerate(kinds.values())], names=[*keep, *kinds])
-
-    cols = keep if carried else [*keep, col]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
-    return df.select(*[f"`{c}`" for c in cols]).mapInArrow(run, fields + ddl)
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                made = [make(c, x.as_py() if x.is_valid else empty) for x in batch.column(at)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array([m[i] for m in made], type=kind) for i, kind in enumerate(kinds.values()))], names=[*keep, *kinds])
+
+    return by_place(picked).mapInArrow(run, with_fields(left, ddl))

@@ -10,23 +10,27 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from glyphveil.llm.common import by_place, others, place_of, quoted, with_fields
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """slots: hashed n-grams. per_lang: learning rows expected of each language, the sample's bound with most_langs, beyond which rarer languages aren't learned. alpha to l2: the optimiser's. epochs: passes over the sample. aside: one row of so many calibrates."""
+    """slots: hashed n-grams, halved while slots times languages are more than `weights`, the model's bound. per_lang: learning rows of each language at most, fewer if there were more than `sample` in all, the sample's bound. Every language is learned, so more of them than `sample` are refused. alpha to l2: the optimiser's. epochs: passes over the sample. aside: one row of so many calibrates."""
 
     slots: int = 1 << 16
+    weights: int = 1 << 23
     per_lang: int = 400
-    most_langs: int = 200
+    sample: int = 80_000
     alpha: float = 0.5
     beta: float = 1.0
     l1: float = 0.02
@@ -179,20 +183,28 @@ def train(rows: DataFrame, s: Settings = Settings(), key: str = "doc_id") -> Mod
     """A Model learned from rows (key, text, lang); rows with a null lang or without a letter don't count.
 
     The statistics (rows by language, document frequencies) cover all rows; the weights are fitted on
-    the rows whose hashed key is lowest, per_lang of each language on average.
+    rows chosen by the lowest hashes of key and text together, per_lang of each language at most. Rows
+    that repeat both count once there, so no repetition crowds others out.
     """
-    rows = rows.where(F.col("lang").isNotNull())
-    by_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.most_langs).collect()
+    rows = rows.where(F.col("lang").isNotNull()).select(F.xxhash64(F.col(key).cast("string"), "text").alias("h"), "text", "lang")
+    by_lang = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(s.sample + 1).collect()
     langs = sorted(r["lang"] for r in by_lang)
     if not langs:
         return Model([], np.zeros(s.slots), np.zeros((s.slots + 1, 0)), 1.0)
-    df, n = document_frequencies(rows.where(F.col("lang").isin(langs)), s.slots)
+    if len(langs) > s.sample:
+        raise ValueError(f"more than {s.sample} languages")
+    while s.slots * len(langs) > s.weights and s.slots > 64:
+        s = replace(s, slots=s.slots // 2)
+    df, n = document_frequencies(rows, s.slots)
     idf = np.log((1 + n) / (1 + df)) + 1
-    at = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(10)), F.lit(1 << 40)) / float(1 << 40)
-    share: Column = F.lit(0.0)
-    for r in by_lang:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, s.per_lang / r["n"]))).otherwise(share)
-    chosen = rows.where(at < share).select(F.col("text"), F.col("lang"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(s.aside)).alias("part"))
+    most = max(1, min(s.per_lang, s.sample // len(langs)))
+    at = F.pmod(F.xxhash64("h", F.lit(10)), F.lit(1 << 40))
+    # A first cut by hash leaves four times as many as wanted, so that ranking them is bounded work.
+    shares = [(r["lang"], min(1 << 40, int(4 * most / max(1, r["n"]) * (1 << 40)))) for r in by_lang]
+    below = rows.sparkSession.createDataFrame(shares, "lang string, below long")
+    near = rows.withColumn("at", at).join(F.broadcast(below), "lang").where("at < below").dropDuplicates(["lang", "h"])
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at", "h"))).where(F.col("rank") <= most)
+    chosen = ranked.select("text", "lang", F.pmod(F.xxhash64("h", F.lit(11)), F.lit(s.aside)).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,13 +241,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Whole texts are read, one after the other; no shuffle. The model's size is bounded by Settings.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = others(docs, "lang_pred", "score")
+    picked = docs.select(*quoted(keep))
+    at = place_of(picked, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            got = [m.predict(t.as_py()) for t in batch.column(text)]
+            got = [m.predict(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], type=pa.string()), pa.array([g[1] for g in got], type=pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    picked = docs.select(*[f"`{c}`" for c in keep])
-    return picked.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema), "lang_pred string, score double"]))
+    return by_place(picked).mapInArrow(run, with_fields(picked, "lang_pred string, score double"))

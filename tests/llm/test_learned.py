@@ -22,6 +22,130 @@ def test_language_held_out(spark):
     assert set(got.held_out.groupby(got.doc_id.map(lambda i: __import__("zlib").crc32(str(i).encode()) % 4 == 2)).nunique()) == {1}
 
 
+def plain_grams(text, slots):
+    """Slots of the 1- to 3-grams, by the rule: one polynomial code a gram, multiplied and cut."""
+    kept = "".join(c.lower() if c.isalpha() else " " for c in text)
+    kept = " " + " ".join(kept.split()) + " "
+    out = {}
+    for n in (1, 2, 3):
+        for i in range(len(kept) - n + 1):
+            code = 0
+            for k, c in enumerate(kept[i : i + n], 1):
+                code = (code * 0x100000001B3 + ord(c) + k) % 2**64
+            slot = code * 0x9E3779B97F4A7C15 % 2**64 >> (64 - slots.bit_length() + 1)
+            out[slot] = out.get(slot, 0) + 1
+    return out
+
+
+def test_op10_language_statistics_by_hand(spark):
+    """n-gram counts, document frequencies, TF-IDF, a step of the optimiser and the temperature behind op10_language, recomputed plainly."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("abc dé,Ü1ß") for _ in range(r.randrange(1, 60))) for _ in range(40)] + ["x" * 5000]
+    slots = 1 << 10
+    for t in texts:
+        got = op10_langid.ngram_counts(t, slots, block=100)
+        assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == plain_grams(t, slots) if got is not None else not any(c.isalpha() for c in t)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    freq, n = op10_langid.document_frequencies(df, slots)
+    seen = [plain_grams(t, slots) for t in texts if any(c.isalpha() for c in t)]
+    assert n == len(seen) and all(freq[k] == sum(k in g for g in seen) for k in range(slots))
+    m = op10_langid.Model(["a", "b"], np.log((1 + n) / (1 + freq)) + 1, np.zeros((slots + 1, 2)), 1.0)
+    at, x = m.vector(op10_langid.ngram_counts(texts[0], slots))
+    plain = {k: (1 + np.log(c)) * (np.log((1 + n) / (1 + sum(k in g for g in seen))) + 1) for k, c in plain_grams(texts[0], slots).items()}
+    norm = np.sqrt(sum(v * v for v in plain.values()))
+    assert at[-1] == slots and x[-1] == 1 and np.allclose(x[:-1], [plain[k] / norm for k in at[:-1]])
+    # One row, one epoch: from zero weights the gradient is x (p - y) with p = 1/2.
+    s = op10_langid.Settings(epochs=1)
+    w = op10_langid.ftrl([(np.array([0, 1]), np.array([0.6, 1.0]))], np.array([1]), 3, 2, s)
+    for i, v in ((0, 0.6), (1, 1.0)):
+        for c, sign in ((0, 1), (1, -1)):
+            z = sign * v / 2
+            want = 0 if abs(z) <= s.l1 else -(z - np.sign(z) * s.l1) / ((s.beta + abs(z)) / s.alpha + s.l2)
+            assert np.isclose(w[i, c], want)
+    assert (w[2] == 0).all()
+    logits, y = np.random.default_rng(2).normal(size=(200, 3)) * 4, np.random.default_rng(3).integers(0, 3, 200)
+
+    def loss(t):
+        z = logits / t
+        return np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(200), y])
+
+    best = op10_langid.temperature(logits, y)
+    assert all(loss(best) <= loss(t) + 1e-9 for t in np.exp(np.linspace(-4, 3, 141)))
+
+
+def test_samples_are_of_rows(spark):
+    """Repeated, clashing and null ids, and many languages: the samples keep their bounds, no language is lost."""
+    df = spark.range(3000).select((F.col("id") % 7).alias("doc_id"), F.concat(F.when(F.col("id") % 2 == 0, "the and of ").otherwise("der und mit "), (F.col("id") % 900).cast("string"), F.translate((F.col("id") % 900).cast("string"), "0123456789", "abcdefghij")).alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    m = op10_langid.train(df.withColumn("doc_id", F.when(F.col("doc_id") > 2, F.col("doc_id"))))
+    got = op10_langid.identify(df, m)
+    assert got.where("lang_pred = lang").count() == 3000
+    many = spark.range(900).select("id", F.concat(F.lit("l"), (F.col("id") % 300).cast("string")).alias("lang"), F.translate(F.concat(F.lit("qq"), (F.col("id") % 300 * 7919).cast("string")), "0123456789", "abcdefghij").alias("text"))
+    m = op10_langid.train(many, op10_langid.Settings(weights=1 << 18, sample=600, epochs=1), key="id")
+    assert len(m.langs) == 300 and m.weights.size <= (1 << 18) + 300 * 2 and m.weights.any(axis=0).all()
+    labels = df.select("doc_id").distinct().withColumn("quality", (F.col("doc_id") % 2).cast("int"))
+    s = op05_quality.Settings(sample=200, steps=5)
+    seen = []
+    op05_quality.fit, fit = lambda x, y, aside, s: seen.append(len(y)) or fit(x, y, aside, s), op05_quality.fit
+    try:
+        op05_quality.train(df.select("doc_id", "text"), labels, s)
+    finally:
+        op05_quality.fit = fit
+    assert seen == [200]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "the words", "en", 0, 0, "x")], "doc_id long, text string, lang string, Score int, Lang_Pred int, `a b.c` string")
+    m = op10_langid.train(df)
+    assert op10_langid.identify(df, m).columns == ["doc_id", "text", "lang", "a b.c", "lang_pred", "score"]
+    vectors, net = op05_quality.train(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), op05_quality.Settings(steps=1))
+    assert op05_quality.score(df, vectors, net).columns == ["doc_id", "text", "lang", "Lang_Pred", "a b.c", "score", "predicted"]
+    assert op10_langid.identify(df, m).first()["lang_pred"] == "en" and op05_quality.score(df, vectors, net).count() == 1
+
+
+def test_op5_quality_context_sums_by_double_loop(spark):
+    """The word vectors behind op5_quality, recomputed occurrence by occurrence, and its network's pooled input."""
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["ab", "c", "7", "!", "dé"]) for _ in range(r.randrange(40))) for _ in range(25)] + [None]
+    s = op05_quality.Settings(buckets=32, dims=6, signs=2, window=2)
+    at, sign = op05_quality.index_vectors(s)
+    want = np.zeros((s.buckets, s.dims))
+    codes = [op05_quality.hasher(s.buckets).text(t) for t in texts]
+    for c in codes:
+        for i in range(len(c)):
+            for j in range(max(0, i - s.window), min(len(c), i + s.window + 1)):
+                if i != j:
+                    for k in range(s.signs):
+                        want[c[i], at[c[j], k]] += sign[c[j], k]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert np.array_equal(op05_quality.context_sums(df, s), want)
+    v = op05_quality.word_vectors(want, s)
+    x = op05_quality.pooled(codes[0], v)
+    assert np.allclose(x[: s.dims], np.mean([v[c] for c in codes[0]], axis=0), atol=1e-5)
+    assert np.allclose(x[s.dims : 2 * s.dims], np.mean([v[c] for c in set(codes[0].tolist())], axis=0), atol=1e-5)
+
+
+def test_op5_quality_gradient_by_differences():
+    """One step of the network's optimiser goes against the numeric gradient's signs, which is what Adam's first step is."""
+    r = np.random.default_rng(8)
+    x, y = r.normal(size=(50, 7)), (r.random(50) > 0.5).astype(float)
+    s = op05_quality.Settings(hidden=3, steps=1, rate=1e-3, batch=50)
+    net = op05_quality.fit(x, y, np.zeros(50, dtype=bool), s)
+    k = np.random.default_rng(3)
+    w1, w2 = k.normal(0, 1 / np.sqrt(7), (7, 3)), k.normal(0, 1 / np.sqrt(3), 3)
+    at = k.integers(0, 50, 50)
+    z, t = ((x - net.mean) / net.scale)[at], y[at]
+
+    def loss(a, b):
+        o = np.tanh(z @ a) @ b
+        return np.mean(np.log1p(np.exp(o)) - t * o) + 0.5e-4 * ((a * a).sum() + (b * b).sum())
+
+    for i, j in ((0, 0), (3, 1), (6, 2)):
+        d = np.zeros_like(w1)
+        d[i, j] = 1e-5
+        slope = (loss(w1 + d, w2) - loss(w1 - d, w2)) / 2e-5
+        assert np.isclose(net.w1[i, j] - w1[i, j], -1e-3 * 0.5 * np.sign(slope), rtol=1e-2)
+
+
 def test_language_odd_rows(spark):
     r = random.Random(1)
     say = lambda ws: " ".join(r.choice(ws) for _ in range(30))

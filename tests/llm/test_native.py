@@ -162,6 +162,42 @@ def test_chat_round_trip(spark):
         assert all(x not in got[c]["formatted"] for x in ("[INST]", "</s>", "<<SYS>>")) and got[c]["formatted"].count("<|im_end|>") == len(turns)
 
 
+def test_chat_records_with_more_fields(spark):
+    """Fields that no layout knows don't matter, optional ones do; lists may be empty, of odd elements, or no lists."""
+    rows = [
+        ('{"prompt":"p","completion":"c","id":7,"meta":{"prompt":[1]}}', "prompt", [("user", "p"), ("assistant", "c")]),
+        ('{"system":"s","prompt":"p","completion":"c"}', "prompt", [("system", "s"), ("user", "p"), ("assistant", "c")]),
+        ('{"messages":[{"role":"user","content":"x","name":"n"},{"content":3},{"role":"assistant","content":"y","tool_calls":[]}],"id":"a"}', "messages", [("user", "x"), ("", "3"), ("assistant", "y")]),
+        ('{"messages":[],"prompt":"p"}', "messages", []),
+        ('{"conversations":[],"system":"s"}', "shared", [("system", "s")]),
+        ('{"conversations":[{"from":"human","value":"x","weight":1}]}', "shared", [("user", "x")]),
+        ('{"a b":1,"x: STRING, prompt":2,"instruction":"i","output":{"z":1}}', "instruction", [("user", "i"), ("assistant", '{"z":1}')]),
+        ('{"messages":"text"}', None, "unknown layout"),
+        ('{"messages":["a"]}', None, "unknown layout"),
+        ('{"messages":[null,{"role":"user"}]}', "messages", [("", ""), ("user", "")]),
+        ("[1]", None, "not a JSON object"),
+        ("{", None, "not a JSON object"),
+        (None, None, "not a JSON object"),
+        ("{}", None, "unknown layout"),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, record string").withColumn("Reason", F.lit("mine"))
+    got = op08_chat.canonical_turns(df).orderBy("i").collect()
+    for (_, layout, told), r in zip(rows, got, strict=True):
+        assert r["layout"] == layout, r
+        if layout:
+            assert [tuple(t) for t in r["turns"]] == told and r["reason"] is None, r
+        else:
+            assert r["turns"] is None and r["reason"] == told, r
+
+
+def test_chat_of_many_turns(spark):
+    n = 20_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<s> "), F.col("id").cast("string")).alias("text"))
+    out = op08_chat.read_back(op08_chat.format_chat(op08_chat.canonical_turns(op08_chat.records(df))).drop("turns")).first()
+    assert len(out["turns"]) == n and tuple(out["turns"][-1]) == ("assistant", f"é<s> {n - 1}")
+    assert out["loss_text"] == "".join(f"é<s> {i}" for i in range(1, n, 2)) and len(out["loss_spans"]) == n // 2
+
+
 def test_chat_layouts(spark):
     rows = [('{"prompt":"p","completion":"c"}', "prompt"), ('{"completion":null,"prompt":"p"}', "prompt"), ('{"messages":[{"role":"user","content":"x"}]}', "messages"), ('{"conversations":[{"from":"human","value":"x"},{"from":"gpt","value":"y"}]}', "shared"), ('{"odd":1}', None), ("no json", None), (None, None)]
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], "i int, record string").withColumn("layout", F.lit("mine"))

@@ -66,6 +66,18 @@ def test_frames(spark, both):
     assert op09_bpe.bpe_round_trip(df.where("false"), PATH).count() == 0
 
 
+def test_frames_of_clashing_columns(spark, both):
+    df = spark.createDataFrame([("hello", "x", 1, 2, 3)], "text string, text__in string, N_Tokens int, _text int, `a b.c` int")
+    assert op09_bpe.bpe_encode(df, PATH, out="TEXT").columns == ["text__in", "N_Tokens", "_text", "a b.c", "TEXT"]
+    assert op09_bpe.bpe_encode(df, PATH, out="text").first()["text"] == both[1].encode("hello").ids
+    got = op09_bpe.bpe_round_trip(df, PATH)
+    assert got.columns == ["text", "text__in", "_text", "a b.c", "n_tokens", "ids_sha256", "decoded_sha256"] and got.first()["n_tokens"] == 1
+    counts = op03_rules.quality_counts(df.withColumn("N_words", op03_rules.F.lit("mine")))
+    assert counts.columns == ["text__in", "N_Tokens", "_text", "a b.c", *op03_rules.COUNTS] and counts.first()["n_words"] == 1
+    full = df.selectExpr("*", "'en' AS lang", "CAST(NULL AS string) AS source", "1 AS Kept", "2 AS Symbols_High")
+    assert op03_rules.quality_rules(full).count() == 1
+
+
 def slow_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines, seen, dup = text.split("\n"), set(), 0
