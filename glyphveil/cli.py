@@ -19,8 +19,16 @@ from glyphveil.sources.config import build_engine, from_environment
 from glyphveil.sources.text import from_strings
 
 
+class _Parser(argparse.ArgumentParser):
+    """Wrong arguments end with 1."""
+
+    def error(self, message: str):
+        self.print_usage(sys.stderr)
+        self.exit(1, f"{message}\n")
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None, engine: Engine | None = None, stdin=None, out=None) -> int:
-    p = argparse.ArgumentParser(description=__doc__)
+    p = _Parser(description=__doc__)
     p.add_argument("path", nargs="?")
     p.add_argument("--from", dest="source")
     p.add_argument("--pretty", action="store_true")

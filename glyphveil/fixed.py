@@ -31,9 +31,13 @@ ADDRESS_IT = (
 )
 _DE_NUMBER = r"[\s,]+\d+[a-zA-Z]?(?:\s*-\s*\d+[a-zA-Z]?)?"
 _DE_CITY = r"(?:[\s,]+\d{5}\s+[A-ZÄÖÜ][a-zäöüß]+(?:[\-\s][A-ZÄÖÜ][a-zäöüß]+)*+)?"
+# Hyphenated parts that are no kind of way have one reading, so any number of them is taken; only kinds
+# of way within a name ("An-der-Weg-Straße") are tried in turn, 50 of them at most.
+_DE_WAY = r"(?iu:Straße|strasse|Str\.|Allee|Platz|Weg|Gasse|Ring|Damm|Ufer|Brücke|Hof)"
+_DE_OTHERS = rf"(?:\-(?!{_DE_WAY})[A-ZÄÖÜ][a-zäöüß]+)*+"
 ADDRESS_DE = (
     r"(?U)(?:"
-    rf"\b[A-ZÄÖÜ][a-zäöüß]+(?:\-[A-ZÄÖÜ][a-zäöüß]+){{0,50}}\-(?iu:Straße|strasse|Str\.|Allee|Platz|Weg|Gasse|Ring|Damm|Ufer|Brücke|Hof)(?:{_DE_NUMBER})?{_DE_CITY}"
+    rf"\b[A-ZÄÖÜ][a-zäöüß]+(?:{_DE_OTHERS}\-(?={_DE_WAY})[A-ZÄÖÜ][a-zäöüß]+){{0,50}}{_DE_OTHERS}\-{_DE_WAY}(?:{_DE_NUMBER})?{_DE_CITY}"
     rf"|\b[A-ZÄÖÜ][a-zäöüß]+\s+(?iu:Straße|strasse|Str\.|Allee|Platz)(?:{_DE_NUMBER})?{_DE_CITY}"
     rf"|\b[A-ZÄÖÜ][a-zäöüß]+(?iu:straße|strasse|str\.|allee|platz|weg|gasse|ring|damm|ufer|brücke|hof){_DE_NUMBER}{_DE_CITY}"
     rf"|\b(?:Am|An\s+der|An\s+den|Auf\s+der|Auf\s+dem|Im|In\s+der|In\s+den|Zur|Zum|Unter\s+den|Vor\s+dem|Hinter\s+der)\s+[A-ZÄÖÜ][a-zäöüß]+(?:{_DE_NUMBER})?{_DE_CITY}"

@@ -38,11 +38,14 @@ def luhn(v: Column) -> Column:
 
 
 def mod97(v: Column) -> Column:
-    """The number that digits and letters (A as 10) spell, modulo 97, folded one character at a time."""
-    def step(a: Column, c: Column) -> Column:
-        return F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    """The number that digits and letters (A as 10) spell, modulo 97; null beyond 70 digits, which no IBAN has. Two decimals hold them."""
+    spelled = F.array_join(F.transform(chars(v), lambda c: F.conv(c, 36, 10)), "")
 
-    return F.aggregate(chars(v), F.lit(0), step)
+    def rest(d: Column) -> Column:
+        head = d.substr(1, 34).try_cast("decimal(38,0)") % 97
+        return (F.concat(head.cast("string"), d.substr(35, 36)).try_cast("decimal(38,0)") % 97).cast("int")
+
+    return once(spelled, lambda d: F.when(F.length(d) <= 70, rest(d)))
 
 
 def iban(v: Column) -> Column:
@@ -52,7 +55,7 @@ def iban(v: Column) -> Column:
     def check(c: Column) -> Column:
         return (F.length(c) == F.coalesce(F.try_element_at(lengths, c.substr(1, 2)), F.lit(0))) & (mod97(F.concat(c.substr(F.lit(5), F.length(c)), c.substr(1, 4))) == 1)
 
-    return once(F.upper(F.regexp_replace(v, r"\s", "")), check)
+    return once(F.upper(F.regexp_replace(v, r"\s", "")), lambda c: F.coalesce(check(c), F.lit(False)))
 
 
 def credit_card(v: Column) -> Column:

@@ -53,9 +53,17 @@ def _some_digit(t: Column) -> Column:
     return t.rlike("[0-9]")
 
 
+def _some_iban(t: Column) -> Column:
+    return t.rlike("[A-Za-z]{2}[0-9]{2}[ A-Za-z0-9]")
+
+
+def _some_card(t: Column) -> Column:
+    return t.rlike("(?:[0-9][ \\-]?){12}[0-9]")
+
+
 EMAIL = PatternDetector("email", (fixed.EMAIL,), None, lambda t: F.contains(t, F.lit("@")))
-IBAN = PatternDetector("iban", (fixed.IBAN_COMPACT, fixed.IBAN_SPACED), kernels.iban, _some_digit)
-CREDIT_CARD = PatternDetector("credit_card", (fixed.CREDIT_CARD,), kernels.credit_card, _some_digit)
+IBAN = PatternDetector("iban", (fixed.IBAN_COMPACT, fixed.IBAN_SPACED), kernels.iban, _some_iban)
+CREDIT_CARD = PatternDetector("credit_card", (fixed.CREDIT_CARD,), kernels.credit_card, _some_card)
 CODICE_FISCALE = PatternDetector("codice_fiscale", (fixed.CODICE_FISCALE,), kernels.codice_fiscale)
 P_IVA = PatternDetector("p_iva", (fixed.ELEVEN_DIGITS,), kernels.luhn, _some_digit)
 PHONE_IT = PatternDetector("phone_it", (fixed.PHONE_IT,), kernels.phone_it, _some_digit)

@@ -1,14 +1,18 @@
 """Entity recognisers behind HTTP, and the mapping of what they say to spans.
 
 A recogniser that can't be reached or says nonsense finds nothing; a job never fails for it. Answers
-are in characters, spans in bytes. Requests go out from the executors, one client a batch.
+are in characters, spans in bytes. Requests go out from the executors, a few at a time, over
+connections that each thread keeps open.
 """
 
 from __future__ import annotations
 
+import http.client
 import json
-import urllib.request
-from collections.abc import Callable
+import threading
+import urllib.parse
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -23,16 +27,36 @@ from glyphveil.functions.spans import SPANS
 Post = Callable[[str, dict, dict, float], tuple[int, str]]
 
 
+_open = threading.local()
+
+
 def http_post(url: str, body: dict, headers: dict, seconds: float) -> tuple[int, str]:
-    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
-    with urllib.request.urlopen(request, timeout=seconds) as r:  # noqa: S310  the URL is the operator's own configuration
-        return r.status, r.read().decode("utf-8")
+    """A POST over this thread's connection to the host, which is opened anew if it was closed meanwhile."""
+    at = urllib.parse.urlsplit(url)
+    if at.scheme not in ("http", "https") or not at.netloc:
+        raise ValueError(f"{url!r} is no HTTP address")
+    held = _open.__dict__.setdefault("connections", {})
+    key = at.scheme, at.netloc, seconds
+    for again in (True, False):
+        kept = key in held
+        if not kept:
+            held[key] = (http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection)(at.netloc, timeout=seconds)
+        try:
+            held[key].request("POST", urllib.parse.urlunsplit(("", "", at.path or "/", at.query, "")), json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+            r = held[key].getresponse()
+            return r.status, r.read().decode("utf-8")
+        except (http.client.HTTPException, OSError):
+            held.pop(key).close()
+            if not (kept and again):
+                raise
+    raise AssertionError
 
 
 class Recogniser:
-    """What drivers share: ask(text) gives rows of (label, start, end, text or None), in characters."""
+    """What drivers share: ask(text) gives rows of (label, start, end, text or None), in characters. parallel: requests at a time of one worker."""
 
     name = "ner"
+    parallel = 4
     labels: dict[str, str]
 
     def ask(self, text: str) -> list[tuple]:
@@ -61,8 +85,10 @@ class Recogniser:
         me = self
 
         @F.pandas_udf(SPANS)
-        def run(texts: pd.Series) -> pd.Series:
-            return pd.Series([me.spans(t) for t in texts])
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            with ThreadPoolExecutor(me.parallel) as pool:
+                for texts in batches:
+                    yield pd.Series(list(pool.map(me.spans, texts)))
 
         return run(text)
 
@@ -123,14 +149,26 @@ class SpacyRecogniser(Recogniser):
         return [(x["label"], x["start_char"], x["end_char"], x.get("text")) for x in rows or [] if isinstance(x, dict) and None not in (x.get("label"), x.get("start_char"), x.get("end_char"))]
 
 
+def _entity_spans(text: Column, rows: Column, labels: dict[str, str], names: tuple[str, str, str], told: str | None = None) -> Column:
+    label, start, end = names
+    known = F.create_map(*[F.lit(x) for p in labels.items() for x in p])
+
+    def span(e: Column) -> Column:
+        head, piece = F.substring(text, F.lit(1), e[start]), F.substring(text, e[start] + 1, e[end] - e[start])
+        value = F.coalesce(F.when(e[told] != "", e[told]), piece) if told else piece
+        return F.struct(F.try_element_at(known, F.upper(e[label])).alias("detector"), value.alias("value"), F.octet_length(head).alias("offset"), F.octet_length(piece).alias("length"))
+
+    fine = F.filter(rows, lambda e: (e[start] >= 0) & (e[end] > e[start]))
+    return F.coalesce(F.filter(F.transform(fine, span), lambda s: s["detector"].isNotNull() & (s["length"] > 0)), F.array().cast(SPANS))
+
+
 def entities_from_json(text: Column, body: Column, labels: dict[str, str] = fixed.HF_LABELS) -> Column:
     """Spans from answers that lie in a column already (rows of entity_group, start, end), without Python."""
     rows = F.from_json(body, "array<struct<entity_group: string, start: int, end: int>>")
-    names = F.create_map(*[F.lit(x) for p in labels.items() for x in p])
+    return _entity_spans(text, rows, labels, ("entity_group", "start", "end"))
 
-    def span(e: Column) -> Column:
-        head, piece = F.substring(text, F.lit(1), e["start"]), F.substring(text, e["start"] + 1, e["end"] - e["start"])
-        return F.struct(F.try_element_at(names, F.upper(e["entity_group"])).alias("detector"), piece.alias("value"), F.octet_length(head).alias("offset"), F.octet_length(piece).alias("length"))
 
-    fine = F.filter(rows, lambda e: (e["start"] >= 0) & (e["end"] > e["start"]))
-    return F.coalesce(F.filter(F.transform(fine, span), lambda s: s["detector"].isNotNull() & (s["length"] > 0)), F.array().cast(SPANS))
+def spacy_entities_from_json(text: Column, body: Column, labels: dict[str, str] = fixed.SPACY_LABELS) -> Column:
+    """The same of a server's answers: {entities: [{label, start_char, end_char, text}]}; a text that is told is the value."""
+    rows = F.from_json(body, "struct<entities: array<struct<label: string, start_char: int, end_char: int, text: string>>>")["entities"]
+    return _entity_spans(text, rows, labels, ("label", "start_char", "end_char"), "text")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glyphveil.errors import StrategyError
 from glyphveil.fixed import LEGACY_TENANT, MASK, TOKEN_WHOLE
+from glyphveil.functions.spans import SPANS
 from glyphveil.tenancy import Tenant, tenant_column
 
 
@@ -117,19 +118,20 @@ class PythonStrategy:
         make = self.make
 
         @F.pandas_udf("array<string>")
-        def replaced(values: pd.Series, names: pd.Series) -> pd.Series:
+        def replaced(all_: pd.Series) -> pd.Series:
             known: dict[tuple[str, str], str] = {}
             out = []
-            for vs, ns in zip(values, names, strict=True):
-                row = []
-                for v, n in zip(vs, ns, strict=True):
-                    if (v, n) not in known:
-                        known[v, n] = make(v, n)
-                    row.append(known[v, n])
-                out.append(row)
+            for row in all_:
+                new = []
+                for x in row if row is not None else ():
+                    key = x["value"], x["detector"]
+                    if key not in known:
+                        known[key] = make(*key)
+                    new.append(known[key])
+                out.append(new)
             return pd.Series(out)
 
-        return replaced(F.coalesce(spans["value"], F.array().cast("array<string>")), F.coalesce(spans["detector"], F.array().cast("array<string>")))
+        return replaced(F.coalesce(spans, F.array().cast(SPANS)))
 
 
 NAMES = ("mask", "hash", "tokenise", "drop")

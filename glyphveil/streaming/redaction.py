@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphveil.operators.engine import Engine
 from glyphveil.operators.strategies import Tokenise
+from glyphveil.scratch import shared_path
 from glyphveil.sources.vault import Store, token_entries
 
 
@@ -36,8 +34,7 @@ def audit_stream(redacted: DataFrame, at: str, window: str = "5 minutes", late:
 def available(stream: DataFrame, name: str = "stream") -> DataFrame:
     """What a stream holds by now, run once to its end into a table in the shared scratch folder, and read from there."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='glyphveil-')}"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from glyphveil.operators.detectors import BUILT_IN
+from glyphveil.operators.custom_rules import CustomRule, CustomRuleDetector, CustomRuleSet
+from glyphveil.operators.detectors import ADDRESS_DE, BUILT_IN
 
 VALID = {
     "iban": ["IT60X0542811101000000123456", "DE89370400440532013000", "NO9386011117947", "NO93 8601 1117 947", "GB82WEST12345698765432"],
@@ -80,3 +81,27 @@ def test_hostile_texts(spark):
     names = ("address_it", "address_es", "address_de", "email")
     got = df.select(*[F.size(BUILT_IN[n].detect(F.col("text"))).alias(n) for n in names]).collect()
     assert got[0]["address_it"] == 1 and got[1]["address_es"] == 1 and got[3]["email"] == 0
+
+
+def test_rule_flags(spark):
+    def found(pattern, flags, text):
+        return [x["value"] for x in CustomRuleDetector("r", CustomRuleSet((CustomRule("r", pattern, flags),))).spans(text)]
+
+    assert found("a+", "uU", "aaa") == ["a", "a", "a"] and found("a+?", "uU", "aaa") == ["aaa"] and found("[+]a{1,2}", "uU", "+aa") == ["+a"]
+    assert found("(?:a)*b", "uU", "aab") == ["aab"] and found(r"\+x?", "uU", "+x") == ["+"]
+    assert found("ab", "uA", "abab ab") == ["ab", "ab"] and found("a b # x", "uAx", "abab") == ["ab", "ab"]
+    assert found("a$", "u", "a\n") == ["a"] and found("a$", "uD", "a\n") == [] and found("a$", "uDm", "a\n") == ["a"] and found("[$]a", "uD", "$a") == ["$a"]
+    assert found("(?<n>a)|(?<n>b)", "uJSX", "ab") == ["a", "b"]
+
+
+def test_failed_rules_are_told(spark):
+    rules = CustomRuleSet((CustomRule("runaway", "(a|aa)+$"), CustomRule("sound", "!")))
+    det = CustomRuleDetector("r", rules, seconds=0.05)
+    df = spark.createDataFrame([("a" * 60 + "!",), ("!",), (None,)], "text string")
+    got = df.select(det.detect(F.col("text")).alias("d"), det.failed(F.col("text")).alias("failed")).collect()
+    assert [(len(r["d"]), r["failed"]) for r in got] == [(1, ["runaway"]), (1, []), (0, [])]
+
+
+def test_long_german_names(spark):
+    names = ["Am-" + "Neu-" * 80 + "Weg 7", "An-der-Weg-Straße 5", "Karl-Marx-Allee 12a", "Alt-Moabit-Ufer"]
+    assert [[x["value"] for x in r["d"]] for r in spark.createDataFrame([(n,) for n in names], "text string").select(ADDRESS_DE.detect(F.col("text")).alias("d")).collect()] == [[names[0]], ["Weg-Straße 5"], [names[2]], [names[3]]]

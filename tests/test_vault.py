@@ -58,6 +58,33 @@ def test_migration(spark, tmp_path):
     assert "tenant_id" not in spark.read.parquet(path).columns
 
 
+def test_cut_short_swap(spark, tmp_path):
+    path = f"file://{tmp_path}/v"
+    s = vault.TableStore(spark, path)
+    s.put_one("[tok:email:aa]", "a")
+    s._rename(path, f"{path}.old")  # as a crash between the two renames leaves it
+    assert vault.TableStore(spark, path).get("[tok:email:aa]") == "a"
+    spark.range(1).write.parquet(f"{path}.old")  # as a crash before the old table was removed
+    again = vault.TableStore(spark, path)
+    assert again.get("[tok:email:aa]") == "a" and not again._exists(f"{path}.old")
+
+
+def test_last_by_order(spark, store):
+    rows = [("t", "[tok:email:aa]", "z", 1), ("t", "[tok:email:aa]", "a", 2)]
+    df = spark.createDataFrame(rows, "tenant_id string, token string, original string, at int")
+    store.put(df, order="at")
+    assert store.get("[tok:email:aa]", "t") == "a"
+    store.load(df.drop("tenant_id"), "t")
+    assert store.get("[tok:email:aa]", "t") == "z"
+
+
+def test_callers_columns_stay(spark, store):
+    store.put_one("[tok:email:aa]", "a")
+    df = spark.createDataFrame([("x [tok:email:aa]", 1, 2, 3, 4)], "text string, _t int, _tenant int, _tokens int, _text int")
+    got = vault.detokenise(df, store)
+    assert got.drop("detokenised").first() == df.first() and got.first()["detokenised"]["output"] == "x a"
+
+
 def test_round_trip(spark, store):
     e = default_engine(strategy=Tokenise("salt", tenant=F.col("tenant")))
     docs = spark.createDataFrame([(1, "default", "a@x.io è a@x.io b@y.io"), (2, "t2", "a@x.io"), (3, "t2", "none"), (4, "t2", None), (5, "t2", "a@x.io")], "id int, tenant string, text string")
