@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,9 +140,10 @@ _BLOOM_BYTES, _BLOOM_PLACES = 8 << 20, 4
 def _places(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     x = ids.astype(np.int64).view(np.uint64)
     for k in range(_BLOOM_PLACES):
-        h = (x ^ np.uint64(0xD6E8FEB86659FD93 + k)) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        yield (h ^ (h >> np.uint64(29))) & np.uint64(bits - 1)
+        h = x + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        yield (h ^ (h >> np.uint64(31))) & np.uint64(bits - 1)
 
 
 class Bloom:
@@ -182,9 +182,9 @@ class Bloom:
     def column(self, id_: Column) -> Column:
         """Whether an id may be one of the table's, as a column; null is none. Only the ids go to Python."""
 
-        @F.pandas_udf("boolean")
-        def told(x: pd.Series) -> pd.Series:
-            return pd.Series(self.maybe(x.to_numpy()))
+        @F.arrow_udf("boolean")
+        def told(x: pa.Array) -> pa.Array:
+            return pa.array(self.maybe(x.to_numpy(zero_copy_only=False)))
 
         return id_.isNotNull() & told(F.coalesce(id_.cast("long"), F.lit(0).cast("long")))
 

@@ -46,7 +46,7 @@ class Codec:
     Only vocabularies without normaliser, dropout or word marks are taken; others are refused.
     """
 
-    def __init__(self, raw: bytes, keep: int = 200_000) -> None:
+    def __init__(self, raw: bytes, keep: int = 100_000) -> None:
         spec = json.loads(raw)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
         plain = not spec["normalizer"] and not model["dropout"] and not model["continuing_subword_prefix"] and not model["end_of_word_suffix"] and not model.get("ignore_merges")
@@ -255,5 +255,6 @@ def _map(df: DataFrame, path: str, col: str, kinds: dict, ddl: str, make, empty=
                 batch = whole.slice(k, 256)
                 made = [make(c, x.as_py() if x.is_valid else empty) for x in batch.column(at)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array([m[i] for m in made], type=kind) for i, kind in enumerate(kinds.values()))], names=[*keep, *kinds])
+        c.words.clear()  # idle workers hold little
 
     return by_place(picked).mapInArrow(run, with_fields(left, ddl))
