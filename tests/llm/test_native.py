@@ -138,6 +138,92 @@ def test_pseudonyms_are_permutations(spark):
     assert pii(spark, "1990-05-13", key="other") != pii(spark, "1990-05-13")
 
 
+def plain_pseudonym(kind, m, key="k"):
+    """The pseudonym of a valid value of a format, by plain Python."""
+    d = re.sub("[^0-9]", "", m)
+
+    def spelled(new):
+        it = iter(new)
+        return "".join(next(it) if c.isdigit() else c for c in m)
+
+    def digest(*parts):
+        return hashlib.sha256("|".join((key, *parts)).encode()).hexdigest()[:12]
+
+    if kind == "card":
+        inner = d[0] + plain_digits(d[1:-1], key, "card")
+        return spelled(next(f"{inner}{c}" for c in range(10) if luhn(f"{inner}{c}")))
+    if kind == "phone":
+        cut = max(0, len(d) - 10)
+        return spelled(d[:cut] + plain_digits(d[cut:], key, "phone"))
+    if kind == "ssn":
+        area, group, serial = int(m[:3]), int(m[4:6]), int(m[7:])
+        x, y = plain_feistel(area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
+        return f"{x + (2 if x >= 665 else 1):03}-{y // 9999 + 1:02}-{y % 9999 + 1:04}"
+    if kind == "date":
+        import datetime
+
+        first = datetime.date(1900, 1, 1)
+        n = (datetime.date.fromisoformat(m) - first).days
+        x, y = plain_feistel(n // 270, n % 270, 270, 270, key, "date")
+        return (first + datetime.timedelta(days=x * 270 + y)).isoformat()
+    if kind == "ip":
+        o = [int(x) for x in m.split(".")]
+        x, y = plain_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    if kind == "iban":
+        body = plain_digits(m[4:], key, "iban")
+        rest = int("".join(str(int(c, 36)) for c in body + m[:2] + "00")) % 97
+        return f"{m[:2]}{98 - rest:02}{body}"
+    if kind == "email":
+        return f"u{digest('email', m.lower())}@example.org"
+    if kind == "secret":
+        return "SECRET-" + digest("secret", m)
+    zeros = re.match("0*[1-9]", d)[0]
+    return spelled(zeros + plain_digits(d[len(zeros) :], key, "national"))
+
+
+def test_op4_pii_against_plain_python(spark):
+    """Random texts of all formats: what op4_pii makes of them is what plain Python makes."""
+    import random
+
+    r = random.Random(11)
+    some = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card():
+        p = "4" + some(14)
+        return p + next(str(c) for c in range(10) if luhn(f"{p}{c}"))
+
+    def iban():
+        body = some(18)
+        return f"DE{98 - int(body + '131400') % 97:02}{body}"
+
+    make = {
+        "card": lambda: r.choice([str, lambda c: " ".join(c[i : i + 4] for i in range(0, 16, 4)), lambda c: "-".join(c[i : i + 4] for i in range(0, 16, 4))])(card()),
+        "phone": lambda: f"+1 ({r.randrange(200, 999)}) {r.randrange(200, 999)}-{some(4)}",
+        "ssn": lambda: f"{r.choice([1, 120, 665, 667, 899]):03}-{r.randrange(1, 100):02}-{r.randrange(1, 10000):04}",
+        "date": lambda: f"{r.randrange(1900, 2099)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}",
+        "ip": lambda: ".".join(str(r.randrange(256)) for _ in range(4)),
+        "iban": iban,
+        "email": lambda: f"{r.choice(['a.b', 'X_1', 'q+z'])}@{r.choice(['x.io', 'Mail.Example.com'])}",
+        "secret": lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOP0123456789") for _ in range(16)),
+        "national": lambda: f"030 {r.randrange(1, 10)}{some(6)}",
+    }
+    texts, want = [], []
+    for _ in range(150):
+        a, b = [], []
+        for _ in range(r.randrange(1, 6)):
+            kind = r.choice(list(make))
+            v = make[kind]()
+            word = r.choice(["to", "von", "é;", "(x)", "😀,"])
+            a += [word, v]
+            b += [word, plain_pseudonym(kind, v)]
+        texts.append(" ".join(a) + " end")
+        want.append(" ".join(b) + " end")
+    got = pii(spark, *texts)
+    for t, w, (g, n) in zip(texts, want, got, strict=True):
+        assert g == w and n >= 1, t
+
+
 def test_pseudonyms_long_text(spark):
     text = ("word " * 40_000) + "a@x.io " * 2000
     assert pii(spark, text)[0][1] == 2000
