@@ -128,6 +128,21 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+#: Rows of texts that go to a Python worker at once.
+_BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows that lie in a worker and, off its heap, in the executor at once; a session that asks for fewer is left alone.
+
+    It is the session's setting, read when a plan is made, so it holds for what the session runs later too.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > _BATCH:
+        spark.conf.set(name, str(_BATCH))
+
+
 def remainder(col: Column, by: int) -> Column:
     """crc32 of an integer as text, modulo by: how rows are held out of learning."""
     return F.crc32(col.cast("string")) % by

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphveil.llm.common import Bloom, connected_components, scratch_scope, staged
+from glyphveil.llm.common import Bloom, connected_components, scratch_scope, small_batches, staged
 
 WORDS = 5
 #: Rows of a pair matrix that are worked on at once.
@@ -139,6 +139,7 @@ def embedded(docs: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([o[i] for o in out], type=k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["doc_id", "text_key", "h1", "h2", "sig"])
         _words.clear()  # idle workers hold nothing
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, h1 long, h2 long, sig binary")
 
 

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphveil.llm.common import by_place, others, place_of, quoted, with_fields
+from glyphveil.llm.common import by_place, others, place_of, quoted, small_batches, with_fields
 
 #: Letters that the quick word pattern knows; texts with other characters take the general pattern.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ˁ"
@@ -240,6 +240,7 @@ def bpe_round_trip(docs: DataFrame, path: str, text: str = "text", ids: str | No
 
 
 def _map(df: DataFrame, path: str, col: str, kinds: dict, ddl: str, make, empty="") -> DataFrame:
+    small_batches(df.sparkSession)
     raw = df.sparkSession.sparkContext.broadcast(vocabulary(path))
     keep = others(df, *kinds)
     left = df.select(*quoted(keep))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphveil.llm.common import by_place, others, place_of, quoted, with_fields
+from glyphveil.llm.common import by_place, others, place_of, quoted, small_batches, with_fields
 
 UNKNOWN = "und"
 
@@ -240,6 +240,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A null text, or one without a letter, is `und` with score 0, as are all if nothing was learned.
     Whole texts are read, one after the other; no shuffle. The model's size is bounded by Settings.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = others(docs, "lang_pred", "score")
     picked = docs.select(*quoted(keep))
