@@ -4,7 +4,9 @@ Counts of each whole text are taken in one pass and kept. Every rate of a docume
 mergeable quantile sketch of its language and source: a histogram whose bins are exact below 64 and
 keep six leading bits above, so that two sketches merge by adding their counts, in any order, and a
 quantile is off by a 32nd at most. Fences around the middle half of each sketch, with a slack, take
-the place of fixed cutoffs; they are joined to the documents, which are kept inside all fences.
+the place of fixed cutoffs; they are joined to the documents, which are kept inside all fences. The
+sketch of a group with few documents says little, so such a group has the fences of its language,
+whose sketch is the sum of its sources' sketches, or else those of all documents.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ RATES = {
 }
 #: How many times the width of the middle half a fence lies beyond it.
 REACH = 3
+#: Documents with words that a group's own sketch needs.
+LEAST = 100
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 
 
@@ -94,28 +98,43 @@ def fences(counts: DataFrame, by: list[str]) -> DataFrame:
     """For each group of by: <rate>_low and <rate>_high for every rate, from the sketches of documents with words.
 
     The sketches are sums by group, rate and bin, combined before the shuffle; a group has a few
-    thousand bins at most, whatever its rows.
+    thousand bins at most, whatever its rows. A group of fewer than LEAST documents takes the sketch
+    of the longest prefix of by that has so many, or that of the whole table.
     """
     long = counts.where("n_words > 0").select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("rate"), sketch_bin(rate(n)).alias("bin")) for n in RATES])).alias("x"))
-    sketch = long.groupBy(*by, "x.rate", "x.bin").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*by, "rate").orderBy("bin")
-    ranked = sketch.select("*", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy(*by, "rate")).alias("all"))
+    own = long.groupBy(*by, F.col("x.rate").alias("rate"), F.col("x.bin").alias("bin")).agg(F.count("*").alias("n"))
+    # Level k has the merged sketches of the first k columns; the others are null there.
+    first = [F.when(F.col("level") > i, F.col(c)).alias(c) for i, c in enumerate(by)]
+    levels = own.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(by)))))
+    sketch = levels.select("level", *first, "rate", "bin", "n").groupBy("level", *by, "rate", "bin").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("level", *by, "rate")
+    ranked = sketch.select("*", F.sum("n").over(whole.orderBy("bin")).alias("upto"), F.sum("n").over(whole).alias("all"))
     quarter = lambda q: F.min(F.when(F.expr(f"4 * upto >= {q} * `all`"), F.col("bin")))
-    middle = ranked.groupBy(*by, "rate").agg(quarter(1).alias("q1"), quarter(3).alias("q3"))
-    out = []
+    middle = ranked.groupBy("level", *by, "rate").agg(quarter(1).alias("q1"), quarter(3).alias("q3"), F.max("all").alias("all"))
+    ends = []
     for name, (_, _, _, two, slack) in RATES.items():
         reach = F.expr(f"{REACH} * (q3 - q1) + {slack}")
-        out.append(F.max(F.when(F.col("rate") == name, F.col("q3") + reach)).alias(f"{name}_high"))
+        ends.append(F.max(F.when(F.col("rate") == name, F.col("q3") + reach)).alias(f"{name}_high"))
         if two:
-            out.append(F.max(F.when(F.col("rate") == name, F.col("q1") - reach)).alias(f"{name}_low"))
-    return middle.groupBy(*by).agg(*out)
+            ends.append(F.max(F.when(F.col("rate") == name, F.col("q1") - reach)).alias(f"{name}_low"))
+    limits = middle.groupBy("level", *by).agg(F.max("all").alias("docs"), *ends)
+    level = F.lit(0)
+    for k in range(1, len(by) + 1):
+        level = F.when(F.sum("docs").over(Window.partitionBy(*by[:k])) >= LEAST, k).otherwise(level)
+    groups = limits.where(F.col("level") == len(by)).select(*by, level.alias("level"))
+    taken = limits.drop("docs").toDF("__gv_level", *[f"{c}_of" for c in by], *limits.columns[len(by) + 2 :])
+    cond = F.col("level") == F.col("__gv_level")
+    for c, x in zip(by, first, strict=True):
+        cond = cond & x.eqNullSafe(F.col(f"{c}_of"))
+    return groups.join(taken, cond).drop("level", "__gv_level", *[f"{c}_of" for c in by])
 
 
 def quality_rules(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), text: str = "text") -> DataFrame:
     """docs without the text, with COUNTS, base_failed, kept and the fences that held.
 
     base_failed: under 20 words, or over 30 % of words in repeated windows of eight. kept: not
-    base_failed, and all rates within the fences of the row's group. Null groups are groups of their
+    base_failed, and all rates within the fences of the row's group, which are those of its first
+    columns or of the table where it has fewer than LEAST documents. Null groups are groups of their
     own; a null or empty text fails; repeated rows are judged alike; an empty table gives none.
     Columns of docs named like one of the result are replaced, others stay.
     """
@@ -164,12 +183,15 @@ counts AS (
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM d JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
 rates AS ({rates}),
-sketch AS (SELECT lang, source, rate, bin, count(*) AS n FROM rates GROUP BY ALL),
-ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, rate ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, rate) AS total FROM sketch),
-mid AS (SELECT lang, source, rate, min(CASE WHEN 4 * upto >= total THEN bin END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bin END) AS q3 FROM ranked GROUP BY lang, source, rate),
-fence AS (SELECT lang, source, {', '.join(ends)} FROM mid GROUP BY lang, source),
+own AS (SELECT lang, source, rate, bin, count(*) AS n FROM rates GROUP BY ALL),
+sketch AS (SELECT 2 AS level, * FROM own UNION ALL SELECT 1, lang, NULL, rate, bin, sum(n) FROM own GROUP BY lang, rate, bin UNION ALL SELECT 0, NULL, NULL, rate, bin, sum(n) FROM own GROUP BY rate, bin),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS total FROM sketch),
+mid AS (SELECT level, lang, source, rate, min(CASE WHEN 4 * upto >= total THEN bin END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bin END) AS q3, max(total) AS total FROM ranked GROUP BY level, lang, source, rate),
+fence AS (SELECT level, lang, source, max(total) AS docs, {', '.join(ends)} FROM mid GROUP BY level, lang, source),
+pick AS (SELECT lang, source, CASE WHEN docs >= {LEAST} THEN 2 WHEN sum(docs) OVER (PARTITION BY lang) >= {LEAST} THEN 1 ELSE 0 END AS level FROM fence WHERE level = 2),
 judged AS (SELECT c.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce({' AND '.join(inside)}, false) AS fine
-  FROM counts c LEFT JOIN fence f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source)
+  FROM counts c LEFT JOIN pick p ON c.lang IS NOT DISTINCT FROM p.lang AND c.source IS NOT DISTINCT FROM p.source
+  LEFT JOIN fence f ON f.level = p.level AND f.lang IS NOT DISTINCT FROM CASE WHEN p.level > 0 THEN p.lang END AND f.source IS NOT DISTINCT FROM CASE WHEN p.level > 1 THEN p.source END)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM judged
 """
 

@@ -109,3 +109,17 @@ def test_rules(spark):
     assert all(got[i]["kept"] for i in range(90))
     assert [got[i]["base_failed"] for i in (100, 101, 102, 103, 104)] == [True, True, True, False, True] and not got[103]["kept"]
     assert op03_rules.quality_rules(df.where("false")).count() == 0
+
+
+def test_small_groups_share_sketches(spark):
+    r = random.Random(7)
+    word = lambda mark="": "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) + mark
+    text = lambda mark="": " ".join(word(mark) for _ in range(60))
+    rows = [(i, text(), "en", f"s{i % 30}") for i in range(120)]  # no source has LEAST documents, the language has
+    rows += [(i, text("%%%%"), "de", "t") for i in range(200, 320)]  # its own sketch, in which signs are usual
+    rows += [(400, text("%%%%"), "en", "s0"), (401, text("%%%%"), "en", "alone"), (402, text(), None, None), (403, text("%%%%"), "xx", None)]
+    got = {x["doc_id"]: x for x in op03_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and all(got[i]["kept"] for i in (*range(120), *range(200, 320)))
+    assert not got[400]["kept"] and not got[401]["kept"]
+    limits = [(got[i]["symbols_high"], got[i]["word_length_low"]) for i in (0, 401, 200, 402, 403)]
+    assert limits[0] == limits[1] != limits[2] and limits[3] == limits[4] and limits[3] not in (limits[0], limits[2])
