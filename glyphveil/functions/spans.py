@@ -53,16 +53,42 @@ def resolve(spans: Column) -> Column:
     return once(spans, lambda s: F.when(F.size(s) > 1, pick(s)).otherwise(s))
 
 
-def weave(text: Column, spans: Column, replace: Callable[[Column], Column]) -> Column:
-    """text with each of its disjoint, ordered spans replaced. Pieces are cut by bytes and joined once, so cost is linear in the text."""
+def weave(text: Column, spans: Column, replace: Callable[[Column], Column], everywhere: bool = False) -> Column:
+    """text with each of its disjoint, ordered spans replaced. Pieces are cut by bytes and joined once, so cost is linear in the text.
+
+    everywhere: between the spans, every further occurrence of their values is replaced too, also within
+    words and numbers. That is looked for once a value, so it costs values times text.
+    """
     def cut(begin: Column, size: Column) -> Column:
         return F.substring(text.cast("binary"), begin + 1, size).cast("string")
 
     def joined(s: Column) -> Column:
         end = lambda x: x["offset"] + x["length"]
         before = lambda i: F.when(i > 0, end(F.get(s, i - 1))).otherwise(0)
-        pieces = F.transform(s, lambda x, i: F.concat(cut(before(i), x["offset"] - before(i)), replace(x)))
         last = end(F.element_at(s, -1))
-        return F.concat(F.array_join(pieces, ""), cut(last, F.octet_length(text) - last))
+        tail = cut(last, F.octet_length(text) - last)
+        if everywhere:
+            gaps = F.concat(F.transform(s, lambda x, i: cut(before(i), x["offset"] - before(i))), F.array(tail))
+            woven = lambda g: F.array_join(F.zip_with(g, s, lambda x, r: F.when(r.isNull(), x).otherwise(F.concat(x, replace(r)))), "")
+            return once(_again(gaps, s, replace), woven)
+        pieces = F.transform(s, lambda x, i: F.concat(cut(before(i), x["offset"] - before(i)), replace(x)))
+        return F.concat(F.array_join(pieces, ""), tail)
 
     return once(spans, lambda s: F.when(F.size(s) > 0, joined(s)).otherwise(text))
+
+
+def _again(gaps: Column, spans: Column, replace: Callable[[Column], Column]) -> Column:
+    """gaps with the values of the spans replaced in them, in one pass each, so that nothing is looked for in a replacement; of values that begin at one place the longest."""
+    ranked = F.array_sort(F.array_distinct(F.transform(F.filter(spans, lambda x: x["length"] > 0), lambda x: F.struct((-x["length"]).alias("a"), x["value"].alias("value")))))
+
+    def pattern(g: Column) -> Column:
+        """Of those values alone that occur, which are few or none."""
+        quoted = lambda v: F.concat(F.lit("\\Q"), F.replace(v, F.lit("\\E"), F.lit(r"\E\\E\Q")), F.lit("\\E"))
+        return once(F.array_join(g, "\0"), lambda t: F.array_join(F.transform(F.filter(ranked, lambda x: F.contains(t, x["value"])), lambda x: quoted(x["value"])), "|"))
+
+    def replaced(g: Column, p: Column) -> Column:
+        new = lambda m: replace(F.get(F.filter(spans, lambda x: x["value"] == m), F.lit(0)))
+        woven = lambda found, rest: F.array_join(F.zip_with(rest, found, lambda x, m: F.when(m.isNull(), x).otherwise(F.concat(x, new(m)))), "")
+        return once(F.regexp_extract_all(g, p, F.lit(0)), lambda found: F.when(F.size(found) > 0, woven(found, F.split(g, p, -1))).otherwise(g))
+
+    return once(gaps, lambda all_: once(pattern(all_), lambda p: F.when(p != "", F.transform(all_, lambda g: replaced(g, p))).otherwise(all_)))

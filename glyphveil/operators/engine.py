@@ -18,13 +18,18 @@ from glyphveil.operators.strategies import Mask, Strategy
 
 @dataclass(frozen=True)
 class Engine:
-    """Immutable: every with_ and register gives a new engine. ner is asked last."""
+    """Immutable: every with_ and register gives a new engine. ner is asked last.
+
+    everywhere: a detected value is replaced wherever else it occurs in its text, also where no detector
+    takes it, as within a longer number. Detections, reports and audits stay as they are.
+    """
 
     strategy: Strategy = field(default_factory=Mask)
     detectors: dict[str, Any] = field(default_factory=dict)
     enabled: bool = True
     audit: bool = False
     ner: Any = None
+    everywhere: bool = False
 
     def register(self, detector: Detector) -> Engine:
         """With the detector; one of the same name is replaced in its place."""
@@ -49,6 +54,9 @@ class Engine:
     def with_ner(self, ner: Any) -> Engine:
         return replace(self, ner=ner)
 
+    def with_everywhere(self, everywhere: bool) -> Engine:
+        return replace(self, everywhere=everywhere)
+
     def collect(self, text: Column) -> Column:
         """All detections in order of registration, recognised entities last; empty for null or empty text."""
         parts = [d.detect(text) for d in self.detectors.values()] + ([self.ner.detect(text)] if self.ner else [])
@@ -67,8 +75,8 @@ class Engine:
         """text with resolved spans replaced by the strategy."""
         s = strategy or self.strategy
         if hasattr(s, "apply_all"):
-            return once(s.apply_all(spans), lambda new: weave(text, F.zip_with(spans, new, lambda x, n: F.struct(*[x[c].alias(c) for c in ("detector", "value", "offset", "length")], n.alias("new"))), lambda x: x["new"]))
-        return weave(text, spans, lambda x: s.apply(x["value"], x["detector"]))
+            return once(s.apply_all(spans), lambda new: weave(text, F.zip_with(spans, new, lambda x, n: F.struct(*[x[c].alias(c) for c in ("detector", "value", "offset", "length")], n.alias("new"))), lambda x: x["new"], self.everywhere))
+        return weave(text, spans, lambda x: s.apply(x["value"], x["detector"]), self.everywhere)
 
     def redact(self, text: Column, strategy: Strategy | None = None) -> Column:
         """text with its detections replaced; as it was if the engine isn't enabled; null for null."""

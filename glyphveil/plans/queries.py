@@ -419,11 +419,11 @@ def ner_merge(spark, sf_dir):
 
 @query(_replaced("'[REDACTED]'"))
 def streaming_redact(spark, sf_dir):
-    """The documents as a stream, redacted to a table that is read back."""
+    """The documents as a stream, redacted to a table that is read back; found values are hidden wherever they occur."""
     # A pattern, since the table may be one file or a folder of them, and streams read folders or patterns.
     schema = _read(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]").select("doc_id", "text")
-    return available(redact_stream(stream, default_engine()).select("doc_id", "redacted"))
+    return available(redact_stream(stream, default_engine().with_everywhere(True)).select("doc_id", "redacted"))
 
 
 @query()
