@@ -20,8 +20,8 @@ from glyphveil.operators.strategies import Mask, Strategy
 class Engine:
     """Immutable: every with_ and register gives a new engine. ner is asked last.
 
-    everywhere: a detected value is replaced wherever else it occurs in its text, also where no detector
-    takes it, as within a longer number. Detections, reports and audits stay as they are.
+    everywhere: a detected value is replaced wherever else it occurs between the detections of its text, also
+    where no detector takes it, as within a longer number. Detections, reports and audits stay as they are.
     """
 
     strategy: Strategy = field(default_factory=Mask)

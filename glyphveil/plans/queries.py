@@ -75,7 +75,7 @@ SELECT doc_id, redacted FROM done
 @query(_replaced("'[REDACTED]'"))
 def mask_documents(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", default_engine().redact(F.col("text")).alias("redacted"))
+    return docs.select("doc_id", default_engine().with_everywhere(True).redact(F.col("text")).alias("redacted"))
 
 
 @query(f"WITH {_SPANS} SELECT doc_id, detector, value, \"offset\", length FROM spans")

@@ -26,7 +26,7 @@ def redacted(spark, engine, *texts):
     return [r[0] for r in df.orderBy("i").select(engine.redact(F.col("text"))).collect()]
 
 
-@pytest.mark.parametrize("name", ["streaming_redact"])
+@pytest.mark.parametrize("name", ["streaming_redact", "mask_documents"])
 def test_query_hides_found_values_like_its_sql(spark, tmp_path, name):
     """A card that stands on its own, and again behind a number or within a word, where its pattern doesn't take it."""
     path = f"{tmp_path}/documents.parquet"
